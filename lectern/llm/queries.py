@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pieces, rules
+from . import compression, langid, licences, mixing, pieces, rules
 
 #: where the tokenizers' files lie; a parameter of the deployment
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -41,6 +41,19 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *[F.col(a).alias(b) for a, b in names.items()], F.array_join(F.col("mix_shards").cast("array<string>"), ",").alias("shards"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_documents(documents(spark, sf_dir)).drop("matches")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    labelled = docs.where(~held_out).join(labels, "doc_id").select("doc_id", "text", "label")
+    model = compression.fit(labelled)
+    return compression.score(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir))
 
@@ -52,6 +65,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
+    "op6_license_scans": op6_license_scans,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
 }
