@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, langid, licences, mixing, pieces, rules
+from . import compression, fingerprints, langid, licences, mixing, pieces, rules
 
 #: where the tokenizers' files lie; a parameter of the deployment
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -62,6 +62,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(documents(spark, sf_dir), piece_model_path(), arrays=False)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_neighbours(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE: dict[str, str] = {"op3_mixing": mixing.ORACLE}
