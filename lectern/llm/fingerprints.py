@@ -11,7 +11,7 @@ The entropy of all windows comes from counting, for 63 shifts, where the text eq
 itself shifted: that says how often the byte that leaves or enters a window is in it.
 
 Defined results: null is an empty text; an empty text has an empty fingerprint; a text
-under 128 bytes has all its windows of 16 bytes as features, or itself if shorter; two empty fingerprints are alike (1), one empty and
+under 128 bytes has all its windows of 6 bytes as features, or itself if shorter; two empty fingerprints are alike (1), one empty and
 one not are unlike (0).  Null ids come last; equal ids are ordered by text.
 """
 
@@ -33,7 +33,7 @@ WINDOW = 64
 RUN = 64
 POINTS = 16
 #: a text under SHORT bytes has every window of SHORT_WINDOW bytes as a feature
-SHORT, SHORT_WINDOW = 128, 16
+SHORT, SHORT_WINDOW = 128, 6
 BITS = 2048
 HASHES = 5
 PER_FILTER = 160

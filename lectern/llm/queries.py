@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, fingerprints, langid, licences, mixing, pieces, rules
+from . import compression, fingerprints, langid, licences, mixing, pieces, rules, setjoin
 
 #: where the tokenizers' files lie; a parameter of the deployment
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -41,6 +41,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *[F.col(a).alias(b) for a, b in names.items()], F.array_join(F.col("mix_shards").cast("array<string>"), ",").alias("shards"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.near_duplicates(documents(spark, sf_dir))
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_documents(documents(spark, sf_dir)).drop("matches")
 
@@ -69,6 +73,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_license_scans": op6_license_scans,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
