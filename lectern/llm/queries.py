@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, fingerprints, langid, licences, mixing, pieces, rules, setjoin
+from . import compression, fingerprints, langid, licences, mixing, passages, pieces, rules, setjoin
 
 #: where the tokenizers' files lie; a parameter of the deployment
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -28,6 +28,10 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(documents(spark, sf_dir))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = F.coalesce(remainder(4) == 2, F.lit(False))
@@ -71,6 +75,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
     "op5_jaccard_join": op5_jaccard_join,
