@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, fingerprints, langid, licences, mixing, passages, pieces, rules, setjoin
+from . import compression, fingerprints, langid, licences, mixing, passages, pieces, rules, setjoin, suffixes
 
 #: where the tokenizers' files lie; a parameter of the deployment
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -45,6 +45,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *[F.col(a).alias(b) for a, b in names.items()], F.array_join(F.col("mix_shards").cast("array<string>"), ",").alias("shards"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.near_duplicates(documents(spark, sf_dir))
 
@@ -67,7 +71,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(documents(spark, sf_dir), piece_model_path(), arrays=False)
+    return pieces.encode_documents(documents(spark, sf_dir), piece_model_path(), ids=False, spans=False)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_license_scans": op6_license_scans,
     "op7_quality_classifier": op7_quality_classifier,
