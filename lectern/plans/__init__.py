@@ -1 +1,6 @@
-"""See README.md."""
+"""All queries of the engine, and the SQL that answers them alike."""
+
+from . import scoring  # noqa: F401  registers its queries
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
