@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 MARK_BYTES = MARK.encode()
 #: segments that a worker keeps; the cache is emptied when it is full
-CACHE_SEGMENTS = 200_000
+CACHE_SEGMENTS = 400_000
 
 
 class Encoding(NamedTuple):
@@ -87,6 +88,7 @@ class PieceModel:
         pieces = [p.piece for p in proto.pieces]
         kinds = [p.type for p in proto.pieces]
         self.unk = kinds.index(2)
+        self.whole = kinds.count(6) == 256  # no character is unknown
         self.bos, self.eos = proto.trainer_spec.bos_id, proto.trainer_spec.eos_id
         self.unk_surface = proto.trainer_spec.unk_surface
         self.own = sorted((p.encode() for p, k in zip(pieces, kinds) if k == 4), key=len, reverse=True)
@@ -99,7 +101,9 @@ class PieceModel:
         spec.precompiled_charsmap = b""
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = False
         self.bpe = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.cache: dict[str, tuple[bytes, bytes, bytes, int]] = {}
+        self.spaced = [s.replace(MARK_BYTES, b" ") for s in self.surface]
+        self.source_bytes = np.array([len(s) for s in self.spaced], np.uint32)
+        self.cache: dict[str, bytes] = {}
 
     def normalise(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised bytes and, for each of them and the end, the source offset."""
@@ -139,34 +143,29 @@ class PieceModel:
         n = _char_length(data[at])
         return n, data[at : at + n]
 
-    def _segment(self, seg: str, ids: list[int]) -> tuple[bytes, bytes, bytes, int]:
-        """ids, source bytes that each id takes, decoded bytes, source bytes in all, of a plain segment."""
-        surfaces = [self.surface[i] for i in ids]
-        own = [len(s.replace(MARK_BYTES, b" ")) for s in surfaces]
-        return np.array(ids, "<u4").tobytes(), np.array(own, "<u4").tobytes(), b"".join(surfaces).replace(MARK_BYTES, b" "), sum(own)
-
-    def _encode_plain(self, text: str) -> tuple[bytes, bytes, bytes]:
+    def _encode_plain(self, text: str) -> np.ndarray:
+        """Ids of text that needs no normalisation, segment by segment."""
         segs = self.segments.findall(" " + text if self.dummy else text)
         cache = self.cache
         if len(cache) > CACHE_SEGMENTS:
             cache.clear()
         if new := [s for s in dict.fromkeys(segs) if s not in cache]:
             for s, ids in zip(new, self.bpe.encode(new)):
-                cache[s] = self._segment(s, ids)
-        got = [cache[s] for s in segs]
-        return b"".join([g[0] for g in got]), b"".join([g[1] for g in got]), b"".join([g[2] for g in got])
+                cache[s] = array("I", ids).tobytes()
+        return np.frombuffer(b"".join([cache[s] for s in segs]), "<u4")
 
     def encode(self, text: str | None) -> tuple[Encoding, str]:
         """The encoding of a text (null: empty), and its decoding."""
         text = text or ""
-        if text and self.plain and self.splits and MARK not in text:
-            ids, own, decoded = self._encode_plain(text)
-            ids, own = np.frombuffer(ids, "<u4"), np.frombuffer(own, "<u4").copy()
+        if text and self.plain and self.splits and self.whole and MARK not in text:
+            ids = self._encode_plain(text)
+            own = self.source_bytes[ids]
             if self.dummy:  # the mark in front stands for no source byte
                 own[0] -= 1
-                decoded = decoded[1:]
             end = np.cumsum(own, dtype=np.int64).astype(np.uint32)
-            begin, decoded_text = end - own, decoded.decode("utf-8", "replace")
+            begin = end - own
+            decoded = b"".join([self.spaced[i] for i in ids.tolist()])
+            decoded_text = decoded[self.dummy :].decode("utf-8", "replace")
         else:
             norm, align = self.normalise(text.encode())
             ids = np.array(self.bpe.encode(norm.decode()) if norm else [], np.uint32)
@@ -201,29 +200,39 @@ class PieceModel:
         return b"".join(parts).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
-def load(path: str) -> PieceModel:
-    return PieceModel(path)
-
-
-def encode_documents(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", arrays: bool = True) -> DataFrame:
-    """One row for each row of ``docs``: key, n_tokens, the ids, their source spans
-    (``arrays``), the decoded text, and digests.  Null texts count as empty, whose
-    encoding is the begin and end ids.  Rows with equal keys each keep their row."""
+def encode_documents(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", ids: bool = True, spans: bool = True) -> DataFrame:
+    """One row for each row of ``docs``: key, n_tokens, digests, n_source_bytes and, as asked, the
+    ids (with begin and end ids), the decoded text, and the source byte span of each id.  Null texts
+    count as empty, whose encoding is the begin and end ids.  Rows with equal keys each keep theirs."""
     kind = docs.schema[key].dataType.simpleString()
-    big = "ids array<bigint>, begins array<bigint>, ends array<bigint>, decoded string, " if arrays else ""
-    schema = f"{key} {kind}, {big}n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string, n_source_bytes bigint"
+    fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("spans_sha256", pa.string()), ("n_source_bytes", pa.int64())]
+    lists = ["ids"] * ids + ["begins", "ends"] * spans
+    schema = f"{key} {kind}, " + ", ".join(f"{n} {'bigint' if t == pa.int64() else 'string'}" for n, t in fields) + ", decoded string" * ids + "".join(f", {n} array<int>" for n in lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         for batch in batches:
-            texts, cols = batch.column(1), [[] for _ in range(9)]
-            for at in range(0, batch.num_rows):
-                e, decoded = model.encode(texts[at].as_py())
-                row = ([e.ids, e.begin, e.end, decoded] if arrays else [None] * 4) + [len(e.ids), hashlib.sha256(e.ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), hashlib.sha256(e.begin.tobytes() + e.end.tobytes()).hexdigest(), int(e.end[-1])]
-                for c, v in zip(cols, row):
-                    c.append(v)
-            lists = [pa.array([x.astype(np.int64) for x in c], pa.list_(pa.int64())) for c in cols[:3]] + [pa.array(cols[3], pa.string())] if arrays else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.array(cols[4], pa.int64()), *(pa.array(c, pa.string()) for c in cols[5:8]), pa.array(cols[8], pa.int64())], names=[x.split()[0] for x in schema.split(", ")])
+            rows, encoded, decoded = [], [], []
+            for t in batch.column(1):
+                e, d = model.encode(t.as_py())
+                rows.append((len(e.ids), hashlib.sha256(e.ids).hexdigest(), hashlib.sha256(d.encode()).hexdigest(), hashlib.sha256(e.begin.tobytes() + e.end.tobytes()).hexdigest(), int(e.end[-1])))
+                if lists:
+                    encoded.append(e)
+                    decoded.append(d)
+            out = [batch.column(0), *[pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)]]
+            names = [key, *[n for n, _ in fields]]
+            if ids:
+                out.append(pa.array(decoded, pa.string()))
+                names.append("decoded")
+            cuts = pa.array(np.concatenate([[0], np.cumsum([r[0] for r in rows])]).astype(np.int32))
+            for n in lists:
+                flat = [getattr(e, {"ids": "ids", "begins": "begin", "ends": "end"}[n]) for e in encoded]
+                out.append(pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(flat).astype(np.int32) if flat else [], pa.int32())))
+            yield pa.RecordBatch.from_arrays(out, names=[*names, *lists])
 
     return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+
+
+@lru_cache(maxsize=4)
+def load(path: str) -> PieceModel:
+    return PieceModel(path)
