@@ -79,12 +79,12 @@ STATES = {"click": "queued", "view": "running", "purchase": "completed", "error"
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, request_id, state, at (seconds), value: lifecycle events of requests (one for each user)."""
+    """seq, request_id, state, t (seconds), value: lifecycle events of requests (one for each user)."""
     e = table(spark, sf_dir, "events")
     state = F.lit("queued")
     for k, v in STATES.items():
         state = F.when(F.col("event_type") == k, v).otherwise(state)
-    return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("request_id"), state.alias("state"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "value")
+    return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("request_id"), state.alias("state"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), "value")
 
 
 CTES = {
@@ -104,7 +104,7 @@ CTES = {
     "runs": r"""runs AS (SELECT o_custkey AS doc_id, o_orderpriority AS system, strftime(o_orderdate, '%Y%m%d') || '-' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS run_id,
     CAST(round(o_totalprice * 100) AS BIGINT) % 10001 / 100.0::DOUBLE AS layout, CAST(round(o_totalprice * 100) AS BIGINT) % 7919 / 100.0::DOUBLE AS anchors, o_orderkey % 5 <> 0 AS has_scores FROM orders)""",
     "requests": r"""requests AS (SELECT event_id AS seq, user_id AS request_id, CASE event_type WHEN 'click' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'cancelled' ELSE 'queued' END AS state,
-    CAST(floor(epoch(ts)) AS BIGINT) AS at, value FROM events)""",
+    CAST(floor(epoch(ts)) AS BIGINT) AS t, value FROM events)""",
 }
 NEEDS = {"regions": ["segments"], "cells": ["segments"], "hint_lines": ["segments"]}
 
