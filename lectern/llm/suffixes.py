@@ -279,7 +279,6 @@ def induce(docs: DataFrame, common: DataFrame, length: int, reach: int) -> DataF
     fields = ["name", "at"]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = pa.nulls
         for batch in batches:
             ids, tags, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
             for c in chunks(batch.column(2)):
@@ -297,9 +296,9 @@ def induce(docs: DataFrame, common: DataFrame, length: int, reach: int) -> DataF
                     new_lo.append(lo[q])
                     new_n.append(hi[q] - lo[q] + 1)
                     new_d.append(np.full(len(q), i))
-                if done:
+                if done:  # known already: on to the next step as it is
                     m = len(done)
-                    yield pa.RecordBatch.from_arrays([none(m, pa.int32()), pa.array([x[2] for x in done], pa.binary()), pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64())], names=["part", "data", "id", "tag"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(keys[x[1] % parts]) for x in done], pa.int32()), pa.array([x[2] for x in done], pa.binary()), pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64())], names=["part", "data", "id", "tag"])
                 many = np.concatenate(new_n) if new_n else np.empty(0, np.int64)
                 start = spread(np.concatenate(new_lo), many) if len(many) else many
                 if len(start):
@@ -308,20 +307,23 @@ def induce(docs: DataFrame, common: DataFrame, length: int, reach: int) -> DataF
                     t = np.empty(len(start), INDUCED)
                     t["name"], t["at"] = h, start - c.off[owner]
                     out = _deal(((h >> np.uint64(8)) % np.uint64(parts)).astype(np.int64), keys, t, ids[c.first + owner], tags[c.first + owner], fields)
-                    yield pa.RecordBatch.from_arrays([*out.columns, none(out.num_rows, pa.int64()), none(out.num_rows, pa.int64())], names=["part", "data", "id", "tag"])
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.int64()), pa.nulls(out.num_rows, pa.int64())], names=["part", "data", "id", "tag"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queue = TupleQueue(INDUCED)
         for batch in batches:
-            for data in batch.column(1).to_pylist():
-                queue.push(_dealt(data, INDUCED, fields))
+            known = batch.column(2).is_valid()
+            for data, done in zip(batch.column(1), known.to_pylist()):
+                if not done:
+                    queue.push(_dealt(data.as_py(), INDUCED, fields))
+            x = batch.filter(known)
+            if x.num_rows:
+                yield pa.RecordBatch.from_arrays([x.column(2), x.column(3), x.column(1)], names=["id", "tag", "data"])
         for x in queue.groups():
             x = x[_counts(_same(x, "name")) > 1]
             yield from _by_document(x, lambda z: _starts(z["at"], z["at"]))
 
-    both = joined.mapInArrow(take, "part int, data binary, id bigint, tag bigint").checkpoint()
-    new = both.where(F.col("part").isNotNull()).select("part", "data").repartition(parts, "part").mapInArrow(meet, MARKED)
-    return both.where(F.col("part").isNull()).select("id", "tag", "data").unionByName(new)
+    return joined.mapInArrow(take, "part int, data binary, id bigint, tag bigint").repartition(parts, "part").mapInArrow(meet, MARKED)
 
 
 def runs(size: int, starts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
