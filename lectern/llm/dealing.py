@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +79,37 @@ def components(links: DataFrame, low: str = "low", high: str = "high", rounds: i
 def never_null(key: Column) -> Column:
     """A key of type bigint that nulls come last in."""
     return F.coalesce(key.cast("bigint"), F.lit((1 << 63) - 1))
+
+
+def packed_by(part: np.ndarray, keys: np.ndarray, tuples: np.ndarray) -> pa.RecordBatch:
+    """(part, data): tuples packed by the part that each goes to."""
+    order = np.argsort(part, kind="stable")
+    part, tuples = part[order], tuples[order]
+    cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
+    rows = [(int(keys[part[a]]), tuples[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "data"])
+
+
+def document_parts(x: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each tuple, by its document."""
+    return (x["tag"].view(np.uint64) % np.uint64(parts)).astype(np.int64)
+
+
+def by_document(packed: DataFrame, dtype: np.dtype) -> DataFrame:
+    """(id, tag, data): all tuples of each document in one row, in order, whatever tasks they came from.
+    ``packed`` has (part, data) by ``document_parts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = [np.frombuffer(d, dtype) for batch in batches for d in batch.column(1).to_pylist()]
+        x = np.concatenate(x) if x else np.empty(0, dtype)
+        if not len(x):
+            return
+        x = x[np.lexsort([x[f] for f in reversed(dtype.names)])]
+        new = (x["id"][1:] != x["id"][:-1]) | (x["tag"][1:] != x["tag"][:-1])
+        cut = np.concatenate([[0], np.flatnonzero(new) + 1, [len(x)]])
+        for at in range(0, len(cut) - 1, 4096):
+            some = [(int(a), int(b)) for a, b in zip(cut[at : at + 4096], cut[at + 1 : at + 4097])]
+            first = [a for a, _ in some]
+            yield pa.RecordBatch.from_arrays([pa.array(x["id"][first]), pa.array(x["tag"][first]), pa.array([x[a:b].tobytes() for a, b in some], pa.binary())], names=["id", "tag", "data"])
+
+    return packed.repartition(partitions(packed), "part").mapInArrow(run, "id bigint, tag bigint, data binary")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dealing import even_keys, never_null, partitions
+from .dealing import by_document, document_parts, even_keys, never_null, packed_by, partitions
 from .kernels import Chunk, chunks, prefix_hash, span_hash, spread
 
 LENGTH = 200
@@ -44,7 +44,10 @@ BLOCK = 1 << 16
 
 SAMPLE = np.dtype([("name", "<u4"), ("wide", "<u8"), ("id", "<i8"), ("tag", "<i8"), ("at", "<u4")])
 INDUCED = np.dtype([("name", "<u8"), ("id", "<i8"), ("tag", "<i8"), ("at", "<u4")])
-RESOLVED, INDUCE, BOTH = 1, 2, 3
+#: what is known of a sample, and which starts are repeated
+MARK = np.dtype([("id", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("state", "u1")])
+STARTS = np.dtype([("id", "<i8"), ("tag", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
+RESOLVED, INDUCE = 1, 2
 
 
 class TupleQueue:
@@ -177,18 +180,6 @@ def _dealt(data: bytes, dtype: np.dtype, fields: list[str]) -> np.ndarray:
     return out
 
 
-def _by_document(x: np.ndarray, body) -> Iterator[pa.RecordBatch]:
-    """(id, tag, data) for the tuples of each document, packed by ``body``."""
-    if not len(x):
-        return
-    x = x[np.lexsort((x["at"], x["tag"], x["id"]))]
-    cut = np.concatenate([[0], np.flatnonzero((x["id"][1:] != x["id"][:-1]) | (x["tag"][1:] != x["tag"][:-1])) + 1, [len(x)]])
-    for s in range(0, len(cut) - 1, 4096):
-        some = [(int(a), int(b)) for a, b in zip(cut[s : s + 4096], cut[s + 1 : s + 4097])]
-        at = [a for a, _ in some]
-        yield pa.RecordBatch.from_arrays([pa.array(x["id"][at]), pa.array(x["tag"][at]), pa.array([body(x[a:b]) for a, b in some], pa.binary())], names=["id", "tag", "data"])
-
-
 def _same(x: np.ndarray, *fields: str) -> np.ndarray:
     """Which tuples equal the one before in the fields."""
     out = np.zeros(len(x), bool)
@@ -204,7 +195,6 @@ def _counts(same: np.ndarray) -> np.ndarray:
 
 
 PACKED = "part int, data binary"
-MARKED = "id bigint, tag bigint, data binary"
 
 
 def common_samples(docs: DataFrame, length: int, reach: int) -> DataFrame:
@@ -238,35 +228,30 @@ def common_samples(docs: DataFrame, length: int, reach: int) -> DataFrame:
             same_name, same_wide = _same(x, "name"), _same(x, "name", "wide")
             many, alike = _counts(same_name), _counts(same_wide)
             # a group all of one wide name needs no induction; else one tuple of each wide name takes part
-            mixed = many > alike
-            state = np.where(alike > 1, RESOLVED, 0) | np.where(mixed & ~same_wide, INDUCE, 0)
+            state = np.where(alike > 1, RESOLVED, 0) | np.where((many > alike) & ~same_wide, INDUCE, 0)
             keep = (many > 1) & (state > 0)
-            y = np.empty(int(keep.sum()), [("id", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("state", "u1")])
+            y = np.empty(int(keep.sum()), MARK)
             for f in ("id", "tag", "at"):
                 y[f] = x[f][keep]
             y["state"] = state[keep]
             found.append(y)
             held += len(y)
             if held > HELD:
-                yield from _by_document(np.concatenate(found), lambda z: z["at"].tobytes() + z["state"].tobytes())
+                y = np.concatenate(found)
+                yield packed_by(document_parts(y, parts), keys, y)
                 found, held = [], 0
-        if found:
-            yield from _by_document(np.concatenate(found), lambda z: z["at"].tobytes() + z["state"].tobytes())
-
-    return docs.select("id", "tag", "text").mapInArrow(take, PACKED).repartition(parts, "part").mapInArrow(meet, MARKED)
+        if held:
+            y = np.concatenate(found)
+            yield packed_by(document_parts(y, parts), keys, y)
 
+    met = docs.select("id", "tag", "text").mapInArrow(take, PACKED).repartition(parts, "part").mapInArrow(meet, PACKED)
+    return by_document(met, MARK)
 
-def _marks(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    at, state = [], []
-    for p in parts:
-        m = len(p) // 5
-        at.append(np.frombuffer(p, np.uint32, m))
-        state.append(np.frombuffer(p, np.uint8, m, 4 * m))
-    return np.concatenate(at).astype(np.int64), np.concatenate(state)
 
-
-def _starts(lo: np.ndarray, hi: np.ndarray) -> bytes:
-    return lo.astype(np.uint32).tobytes() + hi.astype(np.uint32).tobytes()
+def _starts(i: int, tag: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    x = np.empty(len(lo), STARTS)
+    x["id"], x["tag"], x["lo"], x["hi"] = i, tag, lo, hi
+    return x
 
 
 def induce(docs: DataFrame, common: DataFrame, length: int, reach: int) -> DataFrame:
@@ -274,8 +259,7 @@ def induce(docs: DataFrame, common: DataFrame, length: int, reach: int) -> DataF
     parts = partitions(docs)
     keys = even_keys(parts)
     # equal texts have one document in ``common``, the least, and only that is read
-    by_doc = common.groupBy("id", "tag").agg(F.collect_list("data").alias("marks"))
-    joined = docs.join(by_doc, ["id", "tag"]).select("id", "tag", "text", "marks")
+    joined = docs.join(common, ["id", "tag"]).select("id", "tag", "text", "data")
     fields = ["name", "at"]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,56 +268,75 @@ def induce(docs: DataFrame, common: DataFrame, length: int, reach: int) -> DataF
             for c in chunks(batch.column(2)):
                 d, at, lo, hi, prefix = samples(c, length, reach)
                 first = np.searchsorted(d, np.arange(c.n + 1))
-                done, new_lo, new_n, new_d = [], [], [], []
+                done, new, new_d = [], [], []
                 for i in range(c.n):
-                    places, state = _marks(marks[c.first + i])
-                    own = slice(first[i], first[i + 1])
-                    which = np.searchsorted(at[own], places + c.off[i]) + first[i]
-                    r = which[(state & RESOLVED) > 0]
+                    m = np.frombuffer(marks[c.first + i], MARK)
+                    which = np.searchsorted(at[first[i] : first[i + 1]], m["at"].astype(np.int64) + c.off[i]) + first[i]
+                    r = which[(m["state"] & RESOLVED) > 0]
                     if len(r):
-                        done.append((int(ids[c.first + i]), int(tags[c.first + i]), _starts(lo[r] - c.off[i], hi[r] - c.off[i])))
-                    q = which[(state & INDUCE) > 0]
-                    new_lo.append(lo[q])
-                    new_n.append(hi[q] - lo[q] + 1)
+                        done.append(_starts(int(ids[c.first + i]), int(tags[c.first + i]), lo[r] - c.off[i], hi[r] - c.off[i]))
+                    q = which[(m["state"] & INDUCE) > 0]
+                    new.append(q)
                     new_d.append(np.full(len(q), i))
                 if done:  # known already: on to the next step as it is
-                    m = len(done)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(keys[x[1] % parts]) for x in done], pa.int32()), pa.array([x[2] for x in done], pa.binary()), pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64())], names=["part", "data", "id", "tag"])
-                many = np.concatenate(new_n) if new_n else np.empty(0, np.int64)
-                start = spread(np.concatenate(new_lo), many) if len(many) else many
-                if len(start):
-                    owner = np.repeat(np.concatenate(new_d), many)
-                    h = span_hash(prefix, start, start + length)
+                    x = np.concatenate(done)
+                    out = packed_by(document_parts(x, parts), keys, x)
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array([True] * out.num_rows)], names=["part", "data", "known"])
+                q = np.concatenate(new) if new else np.empty(0, np.int64)
+                if len(q):
+                    many = hi[q] - lo[q] + 1
+                    start, sample, owner = spread(lo[q], many), np.repeat(q, many), np.repeat(np.concatenate(new_d), many)
                     t = np.empty(len(start), INDUCED)
-                    t["name"], t["at"] = h, start - c.off[owner]
-                    out = _deal(((h >> np.uint64(8)) % np.uint64(parts)).astype(np.int64), keys, t, ids[c.first + owner], tags[c.first + owner], fields)
-                    yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.int64()), pa.nulls(out.num_rows, pa.int64())], names=["part", "data", "id", "tag"])
+                    t["name"], t["at"] = span_hash(prefix, start, start + length), start - c.off[owner]
+                    # equal strings have equal samples at equal places: those of one sample go together
+                    name = span_hash(prefix, at[sample], at[sample] + length - reach) + ((at[sample] - start) // 32).astype(np.uint64)
+                    out = _deal(((name >> np.uint64(8)) % np.uint64(parts)).astype(np.int64), keys, t, ids[c.first + owner], tags[c.first + owner], fields)
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array([False] * out.num_rows)], names=["part", "data", "known"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queue = TupleQueue(INDUCED)
         for batch in batches:
-            known = batch.column(2).is_valid()
+            known = batch.column(2)
             for data, done in zip(batch.column(1), known.to_pylist()):
                 if not done:
                     queue.push(_dealt(data.as_py(), INDUCED, fields))
             x = batch.filter(known)
             if x.num_rows:
-                yield pa.RecordBatch.from_arrays([x.column(2), x.column(3), x.column(1)], names=["id", "tag", "data"])
+                yield x.select(["part", "data"])
+        found, held = [], 0
         for x in queue.groups():
             x = x[_counts(_same(x, "name")) > 1]
-            yield from _by_document(x, lambda z: _starts(z["at"], z["at"]))
+            found.append(_runs_of_starts(x))
+            held += len(found[-1])
+            if held > HELD:
+                y = np.concatenate(found)
+                yield packed_by(document_parts(y, parts), keys, y)
+                found, held = [], 0
+        if held:
+            y = np.concatenate(found)
+            yield packed_by(document_parts(y, parts), keys, y)
+
+    met = joined.mapInArrow(take, f"{PACKED}, known boolean").repartition(parts, "part").mapInArrow(meet, PACKED)
+    return by_document(met, STARTS)
+
 
-    return joined.mapInArrow(take, "part int, data binary, id bigint, tag bigint").repartition(parts, "part").mapInArrow(meet, MARKED)
+def _runs_of_starts(x: np.ndarray) -> np.ndarray:
+    """Neighbouring starts of a document as ranges."""
+    x = x[np.lexsort((x["at"], x["tag"], x["id"]))]
+    new = np.ones(len(x), bool)
+    if len(x):
+        new[1:] = (x["id"][1:] != x["id"][:-1]) | (x["tag"][1:] != x["tag"][:-1]) | (x["at"][1:] != x["at"][:-1] + 1)
+    first = np.flatnonzero(new)
+    out = np.empty(len(first), STARTS)
+    out["id"], out["tag"], out["lo"] = x["id"][first], x["tag"][first], x["at"][first]
+    out["hi"] = x["at"][np.concatenate([first[1:], [len(x)]]) - 1] if len(first) else 0
+    return out
 
 
-def runs(size: int, starts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+def runs(size: int, starts: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of the maximal runs of bytes covered by strings at the starts."""
-    lo, hi = [], []
-    for p in starts:
-        m = len(p) // 8
-        lo.append(np.frombuffer(p, np.uint32, m))
-        hi.append(np.frombuffer(p, np.uint32, m, 4 * m))
-    lo, hi = np.concatenate(lo).astype(np.int64), np.concatenate(hi).astype(np.int64)
+    x = np.frombuffer(starts, STARTS)
+    lo, hi = x["lo"].astype(np.int64), x["hi"].astype(np.int64)
     step = np.zeros(size + 1, np.int64)
     np.add.at(step, lo, 1)
     np.add.at(step, np.minimum(hi + length, size), -1)
@@ -352,8 +355,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     copied = every.groupBy("tag").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("tag")
     whole = every.join(copied, "tag").distinct()  # texts that occur again go whole
     found = induce(rows, common_samples(rows, length, reach), length, reach)
-    marks = found.groupBy("id", "tag").agg(F.collect_list("data").alias("starts"), F.lit(False).alias("whole"))
-    marks = marks.join(whole, ["id", "tag"], "left_anti").unionByName(whole.select("id", "tag", F.lit(None).cast("array<binary>").alias("starts"), F.lit(True).alias("whole")))
+    marks = found.select("id", "tag", F.col("data").alias("starts"), F.lit(False).alias("whole"))
+    marks = marks.join(whole, ["id", "tag"], "left_anti").unionByName(whole.select("id", "tag", F.lit(None).cast("binary").alias("starts"), F.lit(True).alias("whole")))
     joined = rows.join(marks, ["id", "tag"], "left").select("id", "text", "starts", "whole")
     extra = ", kept_bytes binary" if kept_text else ""
 
