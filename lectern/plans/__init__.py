@@ -1,6 +1,6 @@
 """All queries of the engine, and the SQL that answers them alike."""
 
-from . import layout, misc, records, scoring  # noqa: F401  these register their queries
+from . import alignment, layout, misc, records, scoring  # noqa: F401  these register their queries
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
