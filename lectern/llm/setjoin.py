@@ -8,11 +8,15 @@
    bring nobody together who does not consist of them.
 3. Sets that share a prefix shingle, and whose sizes allow a link, meet in the region
    of a pivot: the least of them.  Every candidate pair has a region in common.
-4. A region is joined by pivots with the distance 1 - J, a metric.  Sets within the
+4. Every set also has a bitmap of two to four bits a shingle.  A bit that one set has and
+   another lacks stands for a shingle that they don't share, which bounds their likeness.
+   Members of a region that nobody there can be linked to by that bound leave it, before
+   whole sets are read.
+5. A region is joined by pivots with the distance 1 - J, a metric.  Sets within the
    threshold of a pivot are linked to it and leave; by the triangle inequality only
    sets within twice the threshold can be near one that leaves, and only to those
    whose distances to the pivot differ by the threshold at most.  The rest recurse.
-5. A region too large for a task is cut into parts, each with the pivot.  Sets near
+6. A region too large for a task is cut into parts, each with the pivot.  Sets near
    the pivot are linked already, so only the others, replicated to all the parts,
    are still compared.
 
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dealing import components, even_keys, never_null, partitions
+from .dealing import components, even_keys, never_null, packed_by, partitions
 from .kernels import Chunk, chunks, doc_of, mix, shingle_hashes, word_hashes
 
 WORDS = 5
@@ -91,23 +95,55 @@ def linked(common, a, b):
 # --- 1 and 2: sets, sketch ---------------------------------------------------------------
 
 
+def bitmaps(h: np.ndarray, start: np.ndarray) -> list[bytes]:
+    """A bitmap of each set: a power of two of bits, at least 64 and at least two for each member."""
+    n = np.diff(start)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(bits)])
+    flags = np.zeros(int(at[-1]), bool)
+    size = np.repeat(bits, n)
+    flags[np.repeat(at[:-1], n) + ((h >> np.uint64(16)).astype(np.int64) & (size - 1))] = True
+    packed = np.packbits(flags, bitorder="little")
+    return [packed[a // 8 : b // 8].tobytes() for a, b in zip(at[:-1], at[1:])]
+
+
+def plausible(n: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
+    """Which sets may be linked to another, from their sizes and bitmaps (as 64-bit words)."""
+    out = np.zeros(len(n), bool)
+    words = np.array([len(m) for m in maps])
+    for level in np.unique(words):
+        mine = np.flatnonzero(words >= level)
+        rows = np.stack([np.bitwise_or.reduce(maps[i].reshape(-1, level), axis=0) for i in mine])
+        exact = words[mine] == level
+        size, own = n[mine], np.bitwise_count(rows).sum(1).astype(np.int64)
+        for x in np.flatnonzero(exact):
+            both = np.bitwise_count(rows & rows[x]).sum(1).astype(np.int64)
+            most = np.minimum(size[x] - (own[x] - both), size - (own - both))
+            ok = (DEN * most >= NUM * (size[x] + size - most)) & (size >= least_size(size[x])) & (least_size(size) <= size[x])
+            ok[x] = False
+            out[mine[ok]] = True
+            out[mine[x]] |= ok.any()
+    return out
+
+
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: a row for each document (id, node, n); kind 1: rows of the sketch (id: which, data)."""
+    """kind 0: a row for each document (id, node, n, data: its bitmap); kind 1: rows of the sketch (id: which, data)."""
     width = SKETCH // SKETCH_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int64)
         names = ["kind", "id", "node", "n", "data"]
         for batch in batches:
-            nodes, sizes = [], []
+            nodes, sizes, maps = [], [], []
             for c in chunks(batch.column(1)):
                 h, start = sets_of(c, k)
                 sketch += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
                 nodes.append(node_ids(h, start))
                 sizes.append(np.diff(start))
+                maps += bitmaps(h, start)
             m = batch.num_rows
             if m:
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes).astype(np.int64)), pa.nulls(m, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(maps, pa.binary())], names=names)
         at = [i for i in range(SKETCH_ROWS) if sketch[i * width : (i + 1) * width].any()]
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at, pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array([zlib.compress(sketch[i * width : (i + 1) * width].tobytes(), 1) for i in at], pa.binary())], names=names)
 
@@ -132,7 +168,7 @@ def sketch_of(described: DataFrame) -> np.ndarray:
     return out
 
 
-# --- 3: prefixes and regions --------------------------------------------------------------
+# --- 3 and 4: prefixes and regions --------------------------------------------------------------
 
 
 def size_class(n: np.ndarray) -> np.ndarray:
@@ -200,15 +236,50 @@ def regions(docs: DataFrame, k: int, sketch: np.ndarray) -> DataFrame:
         pivot = node[np.flatnonzero(first)][np.cumsum(first) - 1]
         other = pivot != node
         pairs = np.unique(np.stack([pivot[other], node[other]], 1), axis=0) if other.any() else np.empty((0, 2), np.int64)
-        for at in range(0, len(pairs), 1 << 16):
-            p = pairs[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["pivot", "node"])
+        if len(pairs):
+            yield packed_by((mix(pairs.view(np.uint64).sum(1, dtype=np.uint64)) % np.uint64(parts)).astype(np.int64), keys, pairs)
+
+    def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.frombuffer(d, np.int64).reshape(-1, 2) for batch in batches for d in batch.column(1).to_pylist()]
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            for at in range(0, len(pairs), 1 << 16):
+                p = pairs[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["pivot", "node"])
 
     packed = docs.select("text").mapInArrow(prefixes, "part int, data binary").repartition(parts, "part")
-    return packed.mapInArrow(meet, "pivot bigint, node bigint").distinct()
+    return packed.mapInArrow(meet, "part int, data binary").repartition(parts, "part").mapInArrow(unique, "pivot bigint, node bigint")
+
+
+def keep_plausible(members: DataFrame) -> DataFrame:
+    """(pivot, node, id): members of regions that may be linked to another member there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple] = []
+
+        def judge() -> None:
+            if len(held) > 1:
+                ok = plausible(np.array([r[3] for r in held]), [np.frombuffer(r[4], np.uint64) for r in held])
+                out.extend(held[i][:3] for i in np.flatnonzero(ok))
+            held.clear()
+
+        for batch in batches:
+            for row in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+                if held and held[0][0] != row[0]:
+                    judge()
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["pivot", "node", "id"])
+                out.clear()
+        judge()
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["pivot", "node", "id"])
+
+    dealt = members.repartition("pivot").sortWithinPartitions("pivot", "node")
+    return dealt.select("pivot", "node", "id", "n", "data").mapInArrow(run, "pivot bigint, node bigint, id bigint")
 
 
-# --- 4: joining a region --------------------------------------------------------------------
+# --- 5 and 6: joining a region --------------------------------------------------------------------
 
 
 def overlaps(one: np.ndarray, flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -370,15 +441,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     links, its own included)."""
     rows = docs.select(never_null(F.col(key)).alias("id"), F.col(text).cast("string").alias("text"))
     described = describe(rows, k).checkpoint()
-    info = described.where("kind = 0").select("id", "node", "n")
+    every = described.where("kind = 0")
+    info = every.select("id", "node", "n")
     sketch = sketch_of(described)
     least = info.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))  # equal sets: the least id stands for them
+    mapped = every.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("data").alias("data"))
     met = regions(rows, k, sketch).checkpoint()
-    size = met.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
-    pieces = F.ceil(F.col("size") / region).cast("int")
-    member = met.join(size, "pivot").select("pivot", "node", pieces.alias("pieces"), F.pmod(F.xxhash64("node"), pieces).cast("int").alias("piece"))
-    centre = size.select("pivot", F.col("pivot").alias("node"), pieces.alias("pieces"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
-    wanted = member.unionByName(centre).join(least, "node").groupBy("id", "node").agg(F.collect_list(F.struct("pivot", "piece", "pieces")).alias("goes"))
+    size = met.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")).withColumn("pieces", F.ceil(F.col("size") / region).cast("int"))
+    small = size.where("pieces = 1")
+    whole = met.join(small, "pivot", "left_semi").unionByName(small.select("pivot", F.col("pivot").alias("node")))
+    kept = keep_plausible(whole.join(mapped, "node")).select("pivot", "node", "id", F.lit(1).alias("pieces"), F.lit(0).alias("piece"))
+    large = size.where("pieces > 1")
+    member = met.join(large, "pivot").select("pivot", "node", "pieces", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("piece"))
+    centre = large.select("pivot", F.col("pivot").alias("node"), "pieces", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    cut = member.unionByName(centre).join(least, "node").select("pivot", "node", "id", "pieces", "piece")
+    wanted = kept.unionByName(cut).groupBy("id", "node").agg(F.collect_list(F.struct("pivot", "piece", "pieces")).alias("goes"))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
