@@ -82,16 +82,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1
     return w
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", rows: int = FIT_ROWS) -> Model:
-    """A model from rows with a text and a label 0 or 1: of each class at most ``rows`` texts, first by
-    a hash of the key.  Of three in four of them the dictionaries are built; with the rest, and those
-    of the other class alike, the score is calibrated.  Without texts of both classes every score is
-    the share of label 1 (0.5 without any)."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", rows: int = FIT_ROWS) -> Model:
+    """A model from ``docs(key, text)`` and ``labels(key, label)``, labels 0 or 1: of each class the
+    texts of at most ``rows`` keys, first by a hash of the key.  Keys are chosen among the labels, so
+    only the chosen texts move.  Of three in four of them the dictionaries are built; with the rest the
+    score is calibrated.  Without texts of both classes every score is the share of label 1 (0.5
+    without any)."""
     good_bad = []
     for k in (1, 0):
-        own = labelled.where((F.col(label) == k) & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+        own = labels.where((F.col(label) == k) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(F.col(key).cast("string")).alias("h")).distinct()
+        chosen = F.broadcast(own.orderBy("h", "k").limit(rows))  # at most ``rows`` keys
+        found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(chosen, "k")
         got, total = [], 0
-        for r in own.orderBy("h", "t").limit(rows).toLocalIterator():
+        for r in found.orderBy("h", "t").limit(rows).toLocalIterator():
             got.append(r.t)
             total += len(r.t)
             if total > FIT_BYTES:

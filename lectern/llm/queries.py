@@ -61,8 +61,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = F.coalesce(remainder(3) == 1, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
-    labelled = docs.where(~held_out).join(labels, "doc_id").select("doc_id", "text", "label")
-    model = compression.fit(labelled)
+    model = compression.fit(docs, labels.where(~held_out))
     return compression.score(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 

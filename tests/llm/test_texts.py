@@ -157,7 +157,7 @@ def test_classifier_separates(spark):
     bad = ["".join(rng.choice("#$%&*!? XQZ") for _ in range(300)) for _ in range(80)]
     rows = [(i, t, 1) for i, t in enumerate(good)] + [(100 + i, t, 0) for i, t in enumerate(bad)] + [(900, None, 1), (901, "", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
-    m = compression.fit(df.where("doc_id % 3 <> 1"))
+    m = compression.fit(df, df.where("doc_id % 3 <> 1").select("doc_id", "label"))
     got = compression.score(df, m).collect()
     held = [r for r in got if r.doc_id % 3 == 1 and r.text]
     assert sum(r.predicted == r.label for r in held) >= 0.95 * len(held)
@@ -165,7 +165,7 @@ def test_classifier_separates(spark):
 
 
 def test_classifier_without_examples(nothing, docs):
-    m = compression.fit(nothing.select("doc_id", "text", F.lit(1).alias("label")))
+    m = compression.fit(nothing, nothing.select("doc_id", F.lit(1).alias("label")))
     assert all(r.score == 0.5 for r in compression.score(docs.select("doc_id", "text"), m).collect())
     assert compression.score(nothing.select("doc_id", "text"), m).collect() == []
 
