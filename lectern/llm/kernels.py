@@ -62,7 +62,7 @@ def chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
         at = to
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up = np.full(n + 1, BASE, U64)
@@ -73,7 +73,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i up to at least n, modulo 2**64."""
-    return _powers(1 << max(20, int(n).bit_length()))
+    return _powers(((int(n) >> 18) + 1) << 18)
 
 
 @lru_cache(maxsize=1)

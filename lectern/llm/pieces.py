@@ -28,7 +28,10 @@ from pyspark.sql import functions as F
 MARK = "▁"
 MARK_BYTES = MARK.encode()
 #: segments that a worker keeps; the cache is emptied when it is full
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 300_000
+#: rows that are encoded and sent on together
+ROWS = 256
+LISTS = {"ids": "ids", "begins": "begin", "ends": "end"}
 
 
 class Encoding(NamedTuple):
@@ -211,24 +214,26 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
-        for batch in batches:
-            rows, encoded, decoded = [], [], []
-            for t in batch.column(1):
-                e, d = model.encode(t.as_py())
-                rows.append((len(e.ids), hashlib.sha256(e.ids).hexdigest(), hashlib.sha256(d.encode()).hexdigest(), hashlib.sha256(e.begin.tobytes() + e.end.tobytes()).hexdigest(), int(e.end[-1])))
-                if lists:
-                    encoded.append(e)
-                    decoded.append(d)
-            out = [batch.column(0), *[pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)]]
-            names = [key, *[n for n, _ in fields]]
-            if ids:
-                out.append(pa.array(decoded, pa.string()))
-                names.append("decoded")
-            cuts = pa.array(np.concatenate([[0], np.cumsum([r[0] for r in rows])]).astype(np.int32))
-            for n in lists:
-                flat = [getattr(e, {"ids": "ids", "begins": "begin", "ends": "end"}[n]) for e in encoded]
-                out.append(pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(flat).astype(np.int32) if flat else [], pa.int32())))
-            yield pa.RecordBatch.from_arrays(out, names=[*names, *lists])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):  # ids take more room than their text
+                batch = whole.slice(at, ROWS)
+                rows, decoded, flat = [], [], {n: [] for n in lists}
+                for t in batch.column(1):
+                    e, d = model.encode(t.as_py())
+                    rows.append((len(e.ids), hashlib.sha256(e.ids).hexdigest(), hashlib.sha256(d.encode()).hexdigest(), hashlib.sha256(e.begin.tobytes() + e.end.tobytes()).hexdigest(), int(e.end[-1])))
+                    for n in lists:
+                        flat[n].append(getattr(e, LISTS[n]))
+                    if ids:
+                        decoded.append(d)
+                out = [batch.column(0), *[pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)]]
+                names = [key, *[n for n, _ in fields]]
+                if ids:
+                    out.append(pa.array(decoded, pa.string()))
+                    names.append("decoded")
+                cuts = pa.array(np.concatenate([[0], np.cumsum([r[0] for r in rows])]).astype(np.int32))
+                for n in lists:
+                    out.append(pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(flat[n]).astype(np.int32), pa.int32())))
+                yield pa.RecordBatch.from_arrays(out, names=[*names, *lists])
 
     return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 

@@ -185,7 +185,7 @@ def regions(docs: DataFrame, k: int, sketch: np.ndarray) -> DataFrame:
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = held.value
         for batch in batches:
-            for c in chunks(batch.column(0), 1 << 22):
+            for c in chunks(batch.column(0), 1 << 21):
                 h, start = sets_of(c, k)
                 n = np.diff(start)
                 node = node_ids(h, start)
