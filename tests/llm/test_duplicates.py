@@ -1,6 +1,7 @@
 """Substring dedup, suffix dedup and the set join against plain versions of themselves."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -191,6 +192,32 @@ def test_passages_found(docs, rows):
     assert not got[0] and not got[68 + 3]
 
 
+def verbatim_missing(spark, texts):
+    """Windows of 50 words that an earlier document has and no passage covers."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = defaultdict(set)
+    for r in passages.passages(df).collect():
+        got[r.doc_id] |= set(range(r.first_word, r.last_word + 1))
+    seen, missing = set(), []
+    for k, t in enumerate(texts):
+        w = t.split()
+        own = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+        missing += [(k, i) for i, x in enumerate(own) if x in seen and not set(range(i, i + 50)) <= got[k]]
+        seen |= set(own)
+    return missing
+
+
+def test_passages_of_frequent_lines(spark):
+    """A copy of lines that many documents have in other order has its source among many documents with the same minima."""
+    rng = random.Random(11)
+    pool = [" ".join(f"l{k}w{i}" for i in range(12)) for k in range(25)]
+    lines = [rng.sample(pool, 8) for _ in range(150)]
+    for k in range(0, 150, 3):
+        other = rng.sample([x for x in pool if x not in lines[k]], 3)
+        lines.append(other[:2] + lines[k][1:6] + other[2:])
+    assert verbatim_missing(spark, ["\n".join(x) for x in lines]) == []
+
+
 def test_compact_windows_are_all_windows():
     rng = np.random.default_rng(5)
     s = rng.integers(0, 40, 300).astype(np.uint64)
