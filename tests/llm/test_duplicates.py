@@ -218,6 +218,23 @@ def test_passages_of_frequent_lines(spark):
     assert verbatim_missing(spark, ["\n".join(x) for x in lines]) == []
 
 
+@pytest.mark.parametrize("apart", [20, 30, 40])
+def test_verified_where_a_line_recurs(apart):
+    """A line that recurs in the earlier text is matched where the alignment has it."""
+    rng = np.random.default_rng(apart)
+    w = rng.integers(0, 1 << 60, 2000).astype(np.uint64)
+    for i in range(0, 1990, apart):
+        w[i : i + 8] = np.arange(8)
+    v = w.copy()
+    v[np.arange(115, 1990, 120)] = np.arange(17, 17 + len(range(115, 1990, 120)))
+    for later in (w, v):
+        covered = set()
+        for b0, b1, a0, a1, j in passages.verify(passages.shingle_hashes(later, 5), passages.shingle_hashes(w, 5), 46):
+            assert j >= 0.75 and (a0, a1) == (b0, b1)
+            covered |= set(range(b0, b1 + 5))
+        assert len(covered) > 1990
+
+
 def test_compact_windows_are_all_windows():
     rng = np.random.default_rng(5)
     s = rng.integers(0, 40, 300).astype(np.uint64)
