@@ -218,6 +218,20 @@ def test_passages_of_frequent_lines(spark):
     assert verbatim_missing(spark, ["\n".join(x) for x in lines]) == []
 
 
+def test_passages_with_a_word_changed(spark):
+    """Passages of 50 words with one inner word changed (similarity 41 / 51) are found, each of them."""
+    rng = random.Random(5)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(600):
+        p = some(50)
+        texts.append(" ".join(some(20) + p + some(20)))
+        p[rng.randint(5, 44)] = "changed"
+        texts.append(" ".join(some(20) + p + some(20)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in passages.passages(df).collect()} == set(range(1, 1200, 2))
+
+
 @pytest.mark.parametrize("apart", [20, 30, 40])
 def test_verified_where_a_line_recurs(apart):
     """A line that recurs in the earlier text is matched where the alignment has it."""
