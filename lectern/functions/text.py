@@ -57,10 +57,14 @@ def noise(text: Column) -> Column:
     return (F.length(t) <= 2) & t.rlike(r"^[\x00-\x7F]*$")
 
 
+#: fixed value: separators within a number, which group digits
+GROUPING = r"(?<=[0-9])(?:[.,](?=[0-9])|(?<![0-9]{4})[.,]?[\u00a0\u2009 ](?=[0-9]{3}(?![0-9])))"
+
+
 def signatures(text: Column) -> Column:
     """Digit signatures of ASCII digits in reading order: grouping separators dropped, runs of two digits
     or more, leading zeros dropped, two digits or more kept."""
-    t = F.regexp_replace(text, r"(?<=[0-9])(?:[.,](?=[0-9])|(?<![0-9]{4})[.,]?[\u00a0\u2009 ](?=[0-9]{3}(?![0-9])))", "")
+    t = F.regexp_replace(text, GROUPING, "")
     return F.filter(F.transform(all_of(t, "[0-9]{2,}"), lambda x: F.ltrim(x, F.lit("0"))), lambda x: F.length(x) >= 2)
 
 

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lectern.plans import ORACLE, QUERIES
@@ -24,7 +25,7 @@ def duck():
 
 def canonical(df):
     def text(v):
-        if v is None or v != v:
+        if not hasattr(v, "__len__") and pd.isna(v):
             return "null"
         if isinstance(v, float):
             return repr(round(v, 6) + 0.0)
