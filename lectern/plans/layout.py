@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -86,14 +89,14 @@ def w11(spark, sf):
     return Q.true_runs(m, ["pair_id"], "seg_ord", "on")
 
 
-SPANS = "s AS (SELECT doc, page, CAST(x + (seg_ord % 2) * 400 AS BIGINT) AS l, CAST(x + (seg_ord % 2) * 400 + w AS BIGINT) AS r FROM cells WHERE cell_id % 1000 < 2)"
+SPANS = "s AS (SELECT doc, page, CAST(x + (seg_ord % 2) * 400 AS BIGINT) AS l, CAST(x + (seg_ord % 2) * 400 + w AS BIGINT) AS r FROM cells)"
 
 
 @query("W12_projection_bands", f"""WITH {SPANS}, m AS (SELECT *, max(r) OVER (PARTITION BY doc, page ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
 c AS (SELECT *, sum(CAST(coalesce(l - reach >= 25, false) AS INT)) OVER (PARTITION BY doc, page ORDER BY l, r ROWS UNBOUNDED PRECEDING) AS band FROM m)
 SELECT doc, page, CAST(band AS BIGINT) AS band, min(l) AS band_left, max(r) AS margin, count(*) AS members FROM c GROUP BY ALL""", ("cells",))
 def w12(spark, sf):
-    c = A.cells(spark, sf).where("cell_id % 1000 < 2")
+    c = A.cells(spark, sf)
     l = (F.col("x") + F.col("seg_ord") % 2 * 400).cast("bigint")  # noqa: E741
     return Q.projection_bands(c.select("doc", "page", l.alias("l"), (l + 80).alias("r")), ["doc", "page"], "l", "r")
 
@@ -101,10 +104,10 @@ def w12(spark, sf):
 @query("J22_band_margin", f"""WITH {SPANS}, m AS (SELECT *, max(r) OVER (PARTITION BY doc, page ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
 c AS (SELECT *, sum(CAST(coalesce(l - reach >= 25, false) AS INT)) OVER (PARTITION BY doc, page ORDER BY l, r ROWS UNBOUNDED PRECEDING) AS band FROM m),
 b AS (SELECT doc, page, band, min(l) AS band_left, max(r) AS margin FROM c GROUP BY ALL)
-SELECT q.doc, q.page, q.cell_id, CAST((SELECT min(margin) FROM b WHERE b.doc = q.doc AND b.page = q.page AND q.x BETWEEN band_left AND margin) AS BIGINT) AS margin FROM cells q WHERE q.cell_id % 1000 = 2""", ("cells",))
+SELECT q.doc, q.page, q.cell_id, CAST((SELECT min(margin) FROM b WHERE b.doc = q.doc AND b.page = q.page AND q.x BETWEEN band_left AND margin) AS BIGINT) AS margin FROM cells q""", ("cells",))
 def j22(spark, sf):
     bands = w12(spark, sf)
-    q = A.cells(spark, sf).where("cell_id % 1000 = 2").select("doc", "page", "cell_id", "x")
+    q = A.cells(spark, sf).select("doc", "page", "cell_id", "x")
     j = q.join(bands, ["doc", "page"], "left")
     return j.groupBy("doc", "page", "cell_id").agg(F.min(F.when(F.col("x").between(F.col("band_left"), F.col("margin")), F.col("margin"))).alias("margin"))
 
@@ -114,15 +117,16 @@ def w15(spark, sf):
     return A.cells(spark, sf).select("doc", "page", "cell_id", F.row_number().over(Window.partitionBy("doc").orderBy("page", "cell_id")).alias("unit_id"))
 
 
-@query("W17_contained_run", "SELECT doc, line_idx, list_has_any(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')), ['of the and', 'no 5', 'and the in', 'de la en']) AS has_run FROM (SELECT doc, line_idx, regexp_split_to_array(lower(trim(text)), '[ ]+') AS w FROM hint_lines) WHERE len(w) >= 3", ("hint_lines",))
+@query("W17_contained_run", "SELECT doc, line_idx, regexp_matches(' ' || array_to_string(regexp_split_to_array(lower(trim(text)), '[ ]+'), ' ') || ' ', ' (of the and|no 5|and the in|de la en) ') AS has_run FROM hint_lines", ("hint_lines",))
 def w17(spark, sf):
-    h = A.hint_lines(spark, sf).withColumn("w", F.split(F.lower(F.trim("text")), "[ ]+")).where(F.size("w") >= 3)
+    h = A.hint_lines(spark, sf).withColumn("w", F.split(F.lower(F.trim("text")), "[ ]+"))
     runs = [["of", "the", "and"], ["no", "5"], ["and", "the", "in"], ["de", "la", "en"]]
-    found = F.lit(False)
-    for r in [x for x in runs if len(x) == 3]:
-        spot = F.sequence(F.lit(1), F.size("w") - 2)
-        found = found | F.array_contains(F.transform(spot, lambda i: F.array_join(F.slice("w", i, F.lit(3)), " ")), " ".join(r))
-    return h.select("doc", "line_idx", found.alias("has_run"))
+
+    def has(run):
+        spots = F.when(F.size("w") >= len(run), F.sequence(F.lit(1), F.size("w") - (len(run) - 1)))
+        return F.coalesce(F.exists(spots, lambda i: F.slice("w", i, F.lit(len(run))) == F.array(*map(F.lit, run))), F.lit(False))
+
+    return h.select("doc", "line_idx", functools.reduce(operator.or_, map(has, runs)).alias("has_run"))
 
 
 @query("J20_line_anchor", """WITH c AS (SELECT doc, seg_ord, cell_id, x, w, h, CASE WHEN cell_id % 3 <> 1 THEN (cell_id // 2) % 2 END AS label FROM cells),

@@ -314,11 +314,11 @@ def g22(spark, sf):
     return A.cells(spark, sf).groupBy("doc", (F.col("seg_ord") % 6).alias("k")).agg(F.max_by("text", "cell_id").alias("entry"))
 
 
-@query("G25_undetected_text", "SELECT doc, seg_ord, len(list_filter(regexp_extract_all(lower(any_value(t)), '[a-z0-9]+'), lambda x: NOT list_contains(flatten(list(regexp_extract_all(lower(text), '[a-z0-9]+'))), x))) > 0 AS undetected FROM (SELECT c.doc, c.seg_ord, c.text, h.text AS t FROM cells c JOIN hint_lines h ON c.doc = h.doc AND h.line_idx = c.seg_ord WHERE c.cell_id % 1000 > 0) GROUP BY ALL", ("hint_lines", "cells"))
+@query("G25_undetected_text", "SELECT doc, seg_ord, len(list_filter(regexp_extract_all(lower(any_value(t)), '[a-z0-9]+'), lambda x: NOT list_contains(flatten(list(regexp_extract_all(lower(text), '[a-z0-9]+'))), x))) > 0 AS undetected FROM (SELECT c.doc, c.seg_ord, c.text, h.text AS t FROM cells c JOIN segments h ON h.side = 1 AND c.doc = h.pair_id AND h.seg_ord = c.seg_ord) GROUP BY ALL", ("segments", "cells"))
 def g25(spark, sf):
     tok = lambda c: T.all_of(F.lower(c), "[a-z0-9]+")
-    c = A.cells(spark, sf).where("cell_id % 1000 > 0").groupBy("doc", "seg_ord").agg(F.flatten(F.collect_list(tok("text"))).alias("have"))
-    h = A.hint_lines(spark, sf).select("doc", F.col("line_idx").alias("seg_ord"), "text")
+    c = A.cells(spark, sf).groupBy("doc", "seg_ord").agg(F.flatten(F.collect_list(tok("text"))).alias("have"))
+    h = A.segments(spark, sf).where("side = 1").select(F.col("pair_id").alias("doc"), "seg_ord", "text")
     return c.join(h, ["doc", "seg_ord"]).select("doc", "seg_ord", (F.size(F.array_except(tok("text"), "have")) > 0).alias("undetected"))
 
 

@@ -283,3 +283,34 @@ def test_passages_are_cut(spark):
 def test_no_passages_of_nothing(nothing):
     assert passages.passages(nothing).collect() == []
     assert passages.remove_passages(nothing).collect() == []
+
+
+def test_links_across_pieces_are_few(spark):
+    """Thousands of sets just around the threshold in one region: all components, and links that are
+    bounded by the number of sets, not of similar pairs."""
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for k in range(2000):
+        w = base[:]
+        w[k % 40] = f"n{k}"
+        if k % 3 == 0:
+            w[(k * 7 + 1) % 40] = f"m{k}"
+        rows.append((k, " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((tuple(r) for r in setjoin.near_duplicates(df, region=100).collect()), key=str)
+    hashed = [np.unique(np.array([hash(x) & (1 << 48) - 1 for x in s], np.uint64)) for s in sets]
+    whole = setjoin.Region(hashed)
+    for i in range(len(rows)):
+        common = np.array([len(x) for x in map(sets[i].intersection, sets[:i])])
+        for j in np.flatnonzero([100 * c >= 75 * (len(sets[i]) + len(sets[j]) - c) for j, c in enumerate(common)]):
+            whole.link(i, int(j))
+    least = {}
+    for i in range(len(rows)):
+        least.setdefault(whole._find(i), i)
+    assert got == sorted(((i, len(sets[i]), least[whole._find(i)]) for i in range(len(rows))), key=str)
+    members = spark.createDataFrame([(1, k % 20, 20, k, k + 1, setjoin.pack(h)) for k, h in enumerate(hashed)], "pivot bigint, piece int, pieces int, id bigint, node bigint, data binary")
+    centre = members.where("node = 1").selectExpr("pivot", "explode(sequence(0, 19)) piece", "pieces", "id", "node", "data")
+    found = setjoin.join_pieces(members.where("node <> 1").unionByName(centre)).cache()
+    within, across = found.where("a is not null").count(), setjoin.join_across(found.where("pivot is not null").drop("a", "b")).count()
+    assert within < len(rows) and across < 4 * len(rows)
