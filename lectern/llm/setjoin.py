@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .dealing import components, even_keys, never_null, packed_by, partitions
-from .kernels import Chunk, chunks, doc_of, mix, shingle_hashes, word_hashes
+from .kernels import Chunk, chunks, doc_of, mix, shingle_hashes, spread, word_hashes
 
 WORDS = 5
 #: J >= NUM / DEN links two sets
@@ -354,7 +354,7 @@ def pack(h: np.ndarray) -> bytes:
 
 
 EDGE = "a struct<id:bigint,node:bigint>, b struct<id:bigint,node:bigint>"
-MEMBER = "pivot bigint, piece int, pieces int, id bigint, node bigint, away double, data binary"
+MEMBER = "pivot bigint, piece int, pieces int, id bigint, node bigint, root bigint, away double, data binary"
 _STRUCT = pa.struct([("id", pa.int64()), ("node", pa.int64())])
 
 
@@ -364,14 +364,15 @@ def _edges(pairs: list[tuple], passed: list[tuple] | None) -> pa.RecordBatch:
     members = passed or []
     a = [{"id": x[0], "node": x[1]} for x, _ in pairs] + [None] * len(members)
     b = [{"id": x[0], "node": x[1]} for _, x in pairs] + [None] * len(members)
-    cols = [blank + [m[i] for m in members] for i in range(7)]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(a, _STRUCT), pa.array(b, _STRUCT), *[pa.array(c, t) for c, t in zip(cols, types)]], names=["a", "b", "pivot", "piece", "pieces", "id", "node", "away", "data"])
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
+    cols = [pa.array(blank + [m[i] for m in members], t) for i, t in enumerate(types)]
+    return pa.RecordBatch.from_arrays([pa.array(a, _STRUCT), pa.array(b, _STRUCT), *cols], names=["a", "b", *[c.split()[0] for c in MEMBER.split(", ")]])
 
 
 def join_pieces(members: DataFrame) -> DataFrame:
     """Links within each (pivot, piece), and the members of regions of several pieces with their
-    distance to the pivot.  Rows of a piece are neighbours."""
+    distance to the pivot and the node that stands for what they are connected with in the piece
+    (the pivot, if that is).  Rows of a piece are neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -384,8 +385,7 @@ def join_pieces(members: DataFrame) -> DataFrame:
             passed = []
             if rows and rows[0][2] > 1:
                 _, d = region.distances(region.sets[0], np.arange(len(rows)))
-                hit = [region._find(i) == region._find(0) for i in range(len(rows))]
-                passed = [(r[0], r[1], r[2], r[3], r[4], -float(x) if h else float(x), r[5]) for r, x, h in zip(rows, d, hit) if r[4] != r[0]]
+                passed = [(*r[:5], rows[region._find(i)][4], float(x), r[5]) for i, (r, x) in enumerate(zip(rows, d)) if r[4] != r[0]]
             held.clear()
             return _edges([(rows[i][3:5], rows[j][3:5]) for i, j in region.links], passed) if region.links or passed else None
 
@@ -402,37 +402,85 @@ def join_pieces(members: DataFrame) -> DataFrame:
     return dealt.select("pivot", "piece", "pieces", "id", "node", "data").mapInArrow(run, f"{EDGE}, {MEMBER}")
 
 
+class Piece:
+    """The members of one piece, which guests from other pieces are compared with.
+
+    Labels stand for what is connected already: members and guests carry the node that stands for
+    their component in their own piece, and a link is worth keeping only if it joins two labels."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rows = rows
+        sets = [unpack(r[7]) for r in rows]
+        self.size = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        owner = np.repeat(np.arange(len(sets)), self.size)[order]
+        self.token, first = np.unique(flat[order], return_index=True)
+        self.owner, self.first = owner, np.append(first, len(owner))
+        self.away = np.array([r[6] for r in rows])
+        self.inner = np.array([r[5] == r[0] for r in rows])
+        self.labels, self.label = np.unique([r[5] for r in rows], return_inverse=True)
+        self.root = {int(x): int(x) for x in self.labels}
+        self.group = self.labels[self.label]  # the root of each member
+
+    def _find(self, x: int) -> int:
+        root = self.root
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def receive(self, node: int, label: int, away: float, own: np.ndarray, outer: bool) -> list[tuple]:
+        """Members that a guest is linked to, one for each component that it joins.  Members that are
+        connected with the pivot are always compared, the others only if ``outer``."""
+        r, slack = 1 - NUM / DEN, 1e-9
+        mine = self._find(label)
+        near = (np.abs(self.away - away) <= r + slack) & (self.size >= least_size(len(own))) & (least_size(self.size) <= len(own)) & (self.group != mine)
+        if not outer:
+            near &= self.inner
+        if not near.any():
+            return []
+        at = np.searchsorted(self.token, own)
+        at[at == len(self.token)] = 0
+        at = at[self.token[at] == own]
+        common = np.bincount(self.owner[spread(self.first[at], self.first[at + 1] - self.first[at])], minlength=len(self.rows))
+        out = []
+        for i in np.flatnonzero(near & linked(common, self.size, len(own))):
+            theirs = self._find(int(self.labels[self.label[i]]))
+            if theirs != mine:
+                self.root[max(mine, theirs)] = mine = min(mine, theirs)
+                out.append(self.rows[i][3:5])
+        if out:
+            self.group = np.array([self._find(int(x)) for x in self.labels])[self.label]
+        return out
+
+
 def join_across(members: DataFrame) -> DataFrame:
-    """Links between pieces of a region.  Members connected with the pivot in their piece (away <= 0)
-    are connected with each other; the others go to every other piece of the region."""
-    outside = F.col("away") > 0
-    sent = members.where(outside).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).where(F.col("to") != F.col("piece"))
-    rows = members.select("pivot", F.col("piece").alias("to"), F.lit(0).alias("guest"), "id", "node", "away", "data").unionByName(sent.select("pivot", "to", F.lit(1).alias("guest"), "id", "node", "away", "data"))
-    r, slack = 1 - NUM / DEN, 1e-9
+    """Links between pieces of a region.  Members connected with the pivot in their piece are connected
+    with each other; the others go to every other piece of the region, where they are compared with
+    what the triangle inequality leaves and yield a link for each component that they join: links are
+    bounded by components, whatever the number of similar pairs.  Two of the others meet once, in the
+    greater of their pieces."""
+    sent = members.where("root <> pivot").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).where(F.col("to") != F.col("piece"))
+    cols = ["id", "node", "root", "away", "data"]
+    rows = members.select("pivot", F.col("piece").alias("to"), F.lit(-1).alias("guest"), *cols).unionByName(sent.select("pivot", "to", F.col("piece").alias("guest"), *cols))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, own, region, away = None, [], None, None
+        here, own, piece = None, [], None
         for batch in batches:
             out = []
-            for row in zip(*[batch.column(i).to_pylist() for i in range(7)]):
+            for row in zip(*[batch.column(i).to_pylist() for i in range(8)]):
                 if row[:2] != here:
-                    here, own, region = row[:2], [], None
-                if not row[2]:
-                    own.append(row)
-                    continue
-                if not own:
-                    continue
-                if region is None:  # members of the piece come before guests
-                    region, away = Region([unpack(x[6]) for x in own]), np.abs([x[5] for x in own])
-                s = unpack(row[6])
-                near = np.flatnonzero((np.abs(away - row[5]) <= r + slack) & (region.size >= least_size(len(s))) & (least_size(region.size) <= len(s)))
-                if len(near):
-                    hit, _ = region.distances(s, near)
-                    out += [(row[3:5], own[i][3:5]) for i in near[hit]]
+                    here, own, piece = row[:2], [], None
+                if row[2] < 0:
+                    own.append(row)  # members of the piece come before guests
+                elif own:
+                    piece = piece or Piece(own)
+                    out += [(row[3:5], x) for x in piece.receive(row[4], row[5], row[6], unpack(row[7]), row[2] < row[1])]
             if out:
                 yield _edges(out, None).select(["a", "b"])
 
-    dealt = rows.repartition("pivot", "to").sortWithinPartitions("pivot", "to", "guest")
+    dealt = rows.repartition("pivot", "to").sortWithinPartitions("pivot", "to", "guest", "root")
     return dealt.mapInArrow(run, EDGE)
 
 
