@@ -43,8 +43,22 @@ def even_keys(parts: int) -> np.ndarray:
     return found
 
 
+#: bytes of input that one task's share of packed tuples may come from
+PART_BYTES = 64 << 20
+
+
 def partitions(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """How many tasks tuples are dealt to: what is configured, more where the tables that ``df`` reads
+    (as far as their size is known) are too large for that many."""
+    set_ = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(set_, int(size / PART_BYTES)) if size < 1 << 60 else set_
+
+
+def row_struct(df: DataFrame) -> Column:
+    """All columns as one, so that names of a caller's columns clash with none."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def components(links: DataFrame, low: str = "low", high: str = "high", rounds: int = 40) -> DataFrame:
@@ -95,9 +109,9 @@ def document_parts(x: np.ndarray, parts: int) -> np.ndarray:
     return (x["tag"].view(np.uint64) % np.uint64(parts)).astype(np.int64)
 
 
-def by_document(packed: DataFrame, dtype: np.dtype) -> DataFrame:
+def by_document(packed: DataFrame, dtype: np.dtype, parts: int) -> DataFrame:
     """(id, tag, data): all tuples of each document in one row, in order, whatever tasks they came from.
-    ``packed`` has (part, data) by ``document_parts``."""
+    ``packed`` has (part, data) by ``document_parts`` of ``parts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = [np.frombuffer(d, dtype) for batch in batches for d in batch.column(1).to_pylist()]
@@ -112,4 +126,4 @@ def by_document(packed: DataFrame, dtype: np.dtype) -> DataFrame:
             first = [a for a, _ in some]
             yield pa.RecordBatch.from_arrays([pa.array(x["id"][first]), pa.array(x["tag"][first]), pa.array([x[a:b].tobytes() for a, b in some], pa.binary())], names=["id", "tag", "data"])
 
-    return packed.repartition(partitions(packed), "part").mapInArrow(run, "id bigint, tag bigint, data binary")
+    return packed.repartition(parts, "part").mapInArrow(run, "id bigint, tag bigint, data binary")

@@ -245,7 +245,7 @@ def common_samples(docs: DataFrame, length: int, reach: int) -> DataFrame:
             yield packed_by(document_parts(y, parts), keys, y)
 
     met = docs.select("id", "tag", "text").mapInArrow(take, PACKED).repartition(parts, "part").mapInArrow(meet, PACKED)
-    return by_document(met, MARK)
+    return by_document(met, MARK, parts)
 
 
 def _starts(i: int, tag: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -317,7 +317,7 @@ def induce(docs: DataFrame, common: DataFrame, length: int, reach: int) -> DataF
             yield packed_by(document_parts(y, parts), keys, y)
 
     met = joined.mapInArrow(take, f"{PACKED}, known boolean").repartition(parts, "part").mapInArrow(meet, PACKED)
-    return by_document(met, STARTS)
+    return by_document(met, STARTS, parts)
 
 
 def _runs_of_starts(x: np.ndarray) -> np.ndarray:
