@@ -41,6 +41,19 @@ def normalised(text: Column) -> Column:
     return F.array_join(all_of(F.lower(F.coalesce(text, F.lit(""))), WORD), " ")
 
 
+def text_identity(text: Column) -> Column:
+    """128 bits of the normalised text where it is ``eligible``, else null; its words are sought once."""
+    low = all_of(F.lower(F.coalesce(text, F.lit(""))), WORD)
+
+    def identity(words: Column) -> Column:
+        joined = F.array_join(words, " ")
+        # lower case has as many letters but for one letter
+        prose = F.when(text.contains("İ"), eligible(text)).otherwise(~text.rlike(URL) & (F.length(joined) - F.size(words) + 1 >= MIN_LETTERS))
+        return F.when(prose & (F.size(words) > 0), F.struct(F.xxhash64(joined).alias("a"), F.xxhash64(F.lit(1), joined).alias("b")))
+
+    return F.transform(F.array(low), identity)[0]
+
+
 def nontranslatable(text: Column) -> Column:
     t = stripped(text)
     low = F.lower(t)

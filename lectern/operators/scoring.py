@@ -211,10 +211,11 @@ def smallest_region(segments: DataFrame, regions: DataFrame, keys: list[str], or
 
 def text_fate(segments: DataFrame) -> DataFrame:
     """pair_id, page, eligible, unchanged: distinct normalised texts of the source, and those of them that
-    the translated page has verbatim."""
-    s = segments.where(T.eligible(F.col("text"))).select(PAIR, "page", "side", T.normalised(F.col("text")).alias("k"))
-    per = s.groupBy(PAIR, "page", "k").agg(F.bool_or(F.col("side") == 0).alias("a"), F.bool_or(F.col("side") == 1).alias("b"))
-    return per.groupBy(PAIR, "page").agg(F.count_if("a").alias("eligible"), F.count_if(F.col("a") & F.col("b")).alias("unchanged"))
+    the translated page has verbatim.  Texts are told apart by 128 bits, and meet once, by page."""
+    s = segments.select(PAIR, "page", "side", T.text_identity(F.col("text")).alias("k")).where("k is not null")
+    of = lambda n: F.collect_set(F.when(F.col("side") == n, F.col("k")))
+    per = s.groupBy(PAIR, "page").agg(of(0).alias("a"), of(1).alias("b"))
+    return per.select(PAIR, "page", F.size("a").cast("bigint").alias("eligible"), F.size(F.array_intersect("a", "b")).cast("bigint").alias("unchanged"))
 
 
 def stray_share(segments: DataFrame, regions: DataFrame) -> DataFrame:
@@ -226,52 +227,73 @@ def stray_share(segments: DataFrame, regions: DataFrame) -> DataFrame:
     return g.select(PAIR, "page", F.when(F.col("total") > 0, F.round(F.col("stray") / F.col("total"), 4)).otherwise(0.0).alias("share"))
 
 
+def _median(values: Column) -> Column:
+    """The median of an array of numbers, null if it is empty."""
+    n = F.size(values)
+    at = lambda v, i: F.get(v, i.cast("int"))
+    return F.when(n > 0, F.transform(F.array(F.array_sort(values)), lambda v: (at(v, F.floor((n - 1) / 2)) + at(v, F.floor(n / 2))) / 2)[0])
+
+
+def _within(segment: Column, b: Column) -> Column:
+    return G.inside(segment["cx"], segment["cy"], b)
+
+
+def page_segments(segments: DataFrame) -> DataFrame:
+    """pair_id, page, and of each side its segments as an array: centre, size, height, identity of the text."""
+    s = centred(segments)
+    item = F.struct("cx", "cy", (F.col("w") * F.col("h")).alias("ink"), "h", T.text_identity(F.col("text")).alias("k"))
+    side = lambda n: F.collect_list(F.when(F.col("side") == n, item))
+    return s.groupBy(PAIR, "page").agg(side(0).alias("source_text"), side(1).alias("target_text"))
+
+
 def score_pages(segments: DataFrame, regions: DataFrame) -> DataFrame:
-    """One row for each page that both sides have: layout parts, counts, retention, typography."""
-    m = match_pages(regions)
-    sides = segments.groupBy(PAIR, "page").agg(F.bool_or(F.col("side") == 0).alias("a"), F.bool_or(F.col("side") == 1).alias("b")).where("a and b").select(PAIR, "page")
-    w = lambda arr, i: G.weight(F.get(arr, i)["box"])
+    """One row for each page that both sides have: layout parts, counts, retention, typography.
+
+    Segments and regions of a page meet once, as arrays (a page has no more of them than fit on it);
+    everything else is arithmetic on the row."""
     total = lambda arr, f: F.aggregate(arr, F.lit(0.0), lambda s, x: s + f(x))
-    m = m.withColumns({
-        "numerator": total("matches", lambda k: k["iou"] * w(F.col("source"), k["i"])),
-        "matched_weight": total("matches", lambda k: w(F.col("source"), k["i"])),
-        "other_weight": total("lost", lambda i: w(F.col("source"), i)) + total("invented", lambda j: w(F.col("target"), j)),
+    region = lambda side, i: F.get(F.col(side), i)
+    w = lambda side, i: G.weight(region(side, i)["box"])
+    d = page_segments(segments).where((F.size("source_text") > 0) & (F.size("target_text") > 0)).join(match_pages(regions), [PAIR, "page"], "left")
+    d = d.withColumns({
+        "numerator": F.coalesce(total("matches", lambda k: k["iou"] * w("source", k["i"])), F.lit(0.0)),
+        "matched_weight": F.coalesce(total("matches", lambda k: w("source", k["i"])), F.lit(0.0)),
+        "other_weight": F.coalesce(total("lost", lambda i: w("source", i)) + total("invented", lambda j: w("target", j)), F.lit(0.0)),
+        "prose": F.filter("source_text", lambda x: x["k"].isNotNull()),
     })
-    # the smallest text region of each eligible source segment
-    seg = centred(segments).withColumn("eligible", T.eligible(F.col("text")))
-    src = seg.where("side = 0 and eligible").join(m.select(PAIR, "page", "source", "target", "matches", "lost"), [PAIR, "page"])
-    home = F.array_min(F.transform(F.filter(F.transform("source", lambda s, i: F.struct(G.box_area(s["box"]).alias("a"), i.alias("i"), s["family"].alias("f"), s["box"].alias("b"))), lambda x: (x["f"] == "text") & G.inside(F.col("cx"), F.col("cy"), x["b"])), lambda x: F.struct(x["a"], x["i"].alias("i"))))["i"]
-    src = src.withColumn("home", home).withColumn("to", F.get(F.filter("matches", lambda k: k["i"] == F.col("home")), F.lit(0))["j"])
-    tgt = seg.where("side = 1").join(m.select(PAIR, "page", "target"), [PAIR, "page"])
-    held = tgt.select(PAIR, "page", F.explode(F.filter(F.transform("target", lambda t, j: F.when(G.inside(F.col("cx"), F.col("cy"), t["box"]), j)), lambda j: j.isNotNull())).alias("to")).distinct().withColumn("has_text", F.lit(True))
-    fate = src.join(held, [PAIR, "page", "to"], "left")
-    gone = F.array_contains("lost", F.col("home")) | (F.col("to").isNotNull() & F.col("has_text").isNull())
-    missing = fate.groupBy(PAIR, "page").agg(F.count_if(F.col("home").isNotNull() & gone).alias("missing"))
-    kept = text_fate(segments)
-    # typography: target text outside all regions; spread of the height ratios of matched text regions
-    size = F.col("w") * F.col("h")
-    ink = seg.where("side = 1").join(m.select(PAIR, "page", "target"), [PAIR, "page"], "left")
-    out_ = ~F.coalesce(F.exists("target", lambda t: G.inside(F.col("cx"), F.col("cy"), t["box"])), F.lit(False))
-    ink = ink.groupBy(PAIR, "page").agg((F.sum(F.when(out_, size).otherwise(0.0)) / F.sum(size)).alias("stray"))
-    text_pairs = m.select(PAIR, "page", F.explode(F.filter(F.transform("matches", lambda k: F.struct(F.get(F.col("source"), k["i"]).alias("s"), F.get(F.col("target"), k["j"]).alias("t"), k["i"].alias("i"))), lambda k: k["s"]["family"] == "text")).alias("k"))
-    heights = seg.join(text_pairs, [PAIR, "page"]).where(F.when(F.col("side") == 0, G.inside(F.col("cx"), F.col("cy"), F.col("k.s.box"))).otherwise(G.inside(F.col("cx"), F.col("cy"), F.col("k.t.box"))))
-    med = lambda s: F.expr(f"percentile(case when side = {s} then h end, 0.5)")
-    ratios = heights.groupBy(PAIR, "page", F.col("k.i").alias("i")).agg(med(0).alias("hs"), med(1).alias("ht")).where("hs > 0 and ht > 0")
-    drift = ratios.groupBy(PAIR, "page").agg(F.when(F.count(F.lit(1)) >= 2, F.max(F.col("ht") / F.col("hs")) / F.min(F.col("ht") / F.col("hs")) - 1).otherwise(0.0).alias("drift"))
-    p = sides
-    for d in (m.drop("source", "target"), kept, missing, ink, drift):
-        p = p.join(d, [PAIR, "page"], "left")
-    zero = {c: 0.0 for c in ("numerator", "matched_weight", "other_weight", "stray", "drift")} | {c: 0 for c in ("eligible", "unchanged", "missing")}
-    p = p.fillna(zero)
-    n = lambda c: F.coalesce(F.size(c), F.lit(0))
-    whole = F.col("matched_weight") + F.col("other_weight")
-    return p.select(
-        PAIR, "page", "numerator", "matched_weight", whole.alias("denominator"),
-        F.when(whole > 0, 100 * F.col("numerator") / whole).otherwise(100.0).alias("layout"),
+    # where the smallest text region of a source segment is lost, or its counterpart without text, the segment is missing
+    texts = F.transform("source", lambda s, i: F.struct(G.box_area(s["box"]).alias("area"), i.alias("i"), s["family"].alias("family"), s["box"].alias("box")))
+    d = d.withColumn("texts", F.array_sort(F.filter(texts, lambda x: x["family"] == "text")))
+    blank = F.filter(F.transform("matches", lambda k: F.when(~F.exists("target_text", lambda t: _within(t, region("target", k["j"])["box"])), k["i"])), lambda i: i.isNotNull())
+    d = d.withColumn("gone", F.concat("lost", blank))
+    home = lambda x: F.get(F.filter("texts", lambda r: _within(x, r["box"])), F.lit(0))["i"]
+    missing = F.size(F.filter("prose", lambda x: F.coalesce(F.array_contains("gone", home(x)), F.lit(False))))
+    keys = lambda c: F.array_distinct(F.transform(F.filter(c, lambda x: x["k"].isNotNull()), lambda x: x["k"]))
+    d = d.withColumns({
+        "own": keys("prose"),
+        "missing": F.greatest(F.coalesce(missing, F.lit(0)), F.lit(0)),
+        # ink of the target outside all regions; spread of the height ratios of matched text regions
+        "stray": F.coalesce(total(F.filter("target_text", lambda t: ~F.coalesce(F.exists("target", lambda r: _within(t, r["box"])), F.lit(False))), lambda t: t["ink"]) / F.nullif(total("target_text", lambda t: t["ink"]), F.lit(0.0)), F.lit(0.0)),
+    })
+    height = lambda side, b: _median(F.transform(F.filter(side, lambda t: _within(t, b)), lambda t: t["h"]))
+    pairs = F.filter("matches", lambda k: region("source", k["i"])["family"] == "text")
+    ratios = F.transform(pairs, lambda k: F.struct(height("source_text", region("source", k["i"])["box"]).alias("s"), height("target_text", region("target", k["j"])["box"]).alias("t")))
+    d = d.withColumn("ratios", F.transform(F.filter(ratios, lambda r: (r["s"] > 0) & (r["t"] > 0)), lambda r: r["t"] / r["s"]))
+    d = d.withColumns({
+        "drift": F.when(F.size("ratios") >= 2, F.array_max("ratios") / F.array_min("ratios") - 1).otherwise(0.0),
+        "eligible": F.size("own").cast("bigint"),
+        "unchanged": F.size(F.array_intersect("own", keys("target_text"))).cast("bigint"),
+        "missing": F.col("missing").cast("bigint"),
+        "denominator": F.col("matched_weight") + F.col("other_weight"),
+    })
+    n = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0))
+    return d.select(
+        PAIR, "page", "numerator", "matched_weight", "denominator",
+        F.when(F.col("denominator") > 0, 100 * F.col("numerator") / F.col("denominator")).otherwise(100.0).alias("layout"),
         F.when(F.col("eligible") > 0, 100 * F.greatest(F.lit(0.0), 1 - F.col("missing") / F.col("eligible"))).otherwise(100.0).alias("retention"),
         (100 * F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), 0.5 * F.col("stray") + 0.5 * F.least(F.lit(1.0), F.col("drift"))))).alias("typography"),
         n("matches").alias("regions_matched"), n("lost").alias("regions_lost"), n("invented").alias("regions_invented"), n("covered_source").alias("regions_covered_source"), n("covered_target").alias("regions_covered_target"),
-        F.col("eligible"), F.col("unchanged"), F.col("missing"), F.round("stray", 4).alias("stray_share"), F.round("drift", 4).alias("size_ratio_drift"),
+        "eligible", "unchanged", "missing", F.round("stray", 4).alias("stray_share"), F.round("drift", 4).alias("size_ratio_drift"),
     )
 
 

@@ -260,7 +260,7 @@ def g02(spark, sf):
 
 @query("G04_identity_baseline")
 def g04(spark, sf):
-    """Every document scored against itself: all axes 100, ratio 1."""
+    """Every document scored against itself: layout and anchors 100, ratio 1."""
     twice = lambda d: d.where("side = 0").withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")))
     s = S.score_pairs(twice(A.segments(spark, sf)), twice(A.regions(spark, sf)))
     return s.select("pair_id", "layout", "anchors", "typography", "volume_ratio", "layout_noise_share")
