@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dealing import row_struct
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_TIMES = 3
@@ -133,15 +135,18 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     )
 
 
-def draw(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", shards: int = SHARDS) -> DataFrame:
-    """The mixed corpus: all columns of ``docs`` and ``mix_shard``, a row for each time that a document
-    is taken whole.  Of a document that the quota cuts, the larger part decides whether it goes.
-    Partitions are shuffled locally."""
-    m = mix(docs, text, source, key, shards, keep=docs.columns)
+def draw(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", shards: int = SHARDS, shard: str | None = "mix_shard") -> DataFrame:
+    """The mixed corpus: all columns of ``docs``, whatever their names, and ``shard`` (unless None; it
+    takes the place of a column of that name), a row for each time that a document is taken whole.  Of a
+    document that the quota cuts, the larger part decides whether it goes.  Texts without words are not
+    drawn; repeated rows are drawn one by one.  Partitions are shuffled locally."""
+    rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in ((key, "key"), (source, "source"), (text, "text"))], row_struct(docs).alias("row"))
+    m = mix(rows, "text", "source", "key", shards, keep=["row"])
     times = F.col("mix_passes") + ((F.col("mix_taken") - F.col("mix_passes") * F.col("mix_size")) * 2 >= F.col("mix_size")).cast("bigint")
     n = F.when(F.col("mix_size") > 0, times).otherwise(0).cast("int")
-    out = m.where(n > 0).select(*docs.columns, F.posexplode(F.slice("mix_shards", F.lit(1), n)).alias("mix_pass", "mix_shard"), "mix_key")
-    return out.sortWithinPartitions("mix_shard", F.md5(F.concat_ws(":", "mix_key", "mix_pass"))).drop("mix_pass", "mix_key")
+    out = m.where(n > 0).select("row", F.posexplode(F.slice("mix_shards", F.lit(1), n)).alias("pass", "shard"), "mix_key")
+    out = out.sortWithinPartitions("shard", F.md5(F.concat_ws(":", "mix_key", "pass")))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != shard], *([F.col("shard").alias(shard)] if shard else []))
 
 
 ORACLE = r"""

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dealing import components, even_keys, never_null, packed_by, partitions
+from .dealing import components, even_keys, never_null, packed_by, partitions, row_struct
 from .kernels import Chunk, chunks, doc_of, mix, shingle_hashes, spread, word_hashes
 
 WORDS = 5
@@ -127,12 +127,12 @@ def plausible(n: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: a row for each document (id, node, n, data: its bitmap); kind 1: rows of the sketch (id: which, data)."""
+    """kind 0: a row for each document (id, tag, node, n, data: its bitmap); kind 1: rows of the sketch (id: which, data)."""
     width = SKETCH // SKETCH_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int64)
-        names = ["kind", "id", "node", "n", "data"]
+        names = ["kind", "id", "tag", "node", "n", "data"]
         for batch in batches:
             nodes, sizes, maps = [], [], []
             for c in chunks(batch.column(1)):
@@ -143,11 +143,11 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                 maps += bitmaps(h, start)
             m = batch.num_rows
             if m:
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(maps, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0), batch.column(2), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(maps, pa.binary())], names=names)
         at = [i for i in range(SKETCH_ROWS) if sketch[i * width : (i + 1) * width].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at, pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array([zlib.compress(sketch[i * width : (i + 1) * width].tobytes(), 1) for i in at], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at, pa.int64()), *[pa.nulls(len(at), pa.int64())] * 3, pa.array([zlib.compress(sketch[i * width : (i + 1) * width].tobytes(), 1) for i in at], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "kind int, id bigint, node bigint, n bigint, data binary")
+    return docs.mapInArrow(run, "kind int, id bigint, tag bigint, node bigint, n bigint, data binary")
 
 
 def sketch_of(described: DataFrame) -> np.ndarray:
@@ -487,10 +487,33 @@ def join_across(members: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, region: int = REGION) -> DataFrame:
     """One row for each row of ``docs``: key, n_shingles, component_id (the least key reachable by
     links, its own included)."""
-    rows = docs.select(never_null(F.col(key)).alias("id"), F.col(text).cast("string").alias("text"))
+    none = F.lit((1 << 63) - 1)
+    return grouped(docs, text, key, k, region).select(F.nullif("id", none).alias(key), "n_shingles", F.nullif("root", none).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, region: int = REGION) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the least key, of those with one key
+    the one of the least text hash, of equal texts with one key any.  Rows whose text has no words are in
+    no group and stay; null keys count as greater than all others; all columns stay, whatever their names."""
+    t = F.col(f"`{text}`").cast("string")
+    own = [never_null(F.col(f"`{key}`")).alias("id"), F.xxhash64(t).alias("tag")]
+    found = grouped(docs, text, key, k, region, tags=True).where("n_shingles > 0").checkpoint()
+    same = found.groupBy("id", "tag").agg(F.count(F.lit(1)).alias("many"), F.first("group").alias("group"))
+    stays = found.groupBy("group").agg(F.min(F.struct("id", "tag")).alias("least")).select("group", "least.*")
+    judged = same.join(stays.select("group", "id", "tag", F.lit(True).alias("stays")), ["group", "id", "tag"], "left").select("id", "tag", "many", F.coalesce("stays", F.lit(False)).alias("stays"))
+    joined = docs.select(*own, row_struct(docs).alias("row")).join(judged, ["id", "tag"], "left")
+    alone = joined.where("stays is null or (stays and many = 1)").select("row.*")
+    return alone.unionByName(joined.where("stays and many > 1").dropDuplicates(["id", "tag"]).select("row.*"))
+
+
+def grouped(docs: DataFrame, text: str, key: str, k: int, region: int, tags: bool = False) -> DataFrame:
+    """(id, tag: a hash of the text, or null unless ``tags``; n_shingles, root: the least key of the group,
+    group: what stands for it) of each row."""
+    t = F.col(f"`{text}`").cast("string")
+    rows = docs.select(never_null(F.col(f"`{key}`")).alias("id"), t.alias("text"), (F.xxhash64(t) if tags else F.lit(None).cast("bigint")).alias("tag"))
     described = describe(rows, k).checkpoint()
     every = described.where("kind = 0")
-    info = every.select("id", "node", "n")
+    info = every.select("id", "tag", "node", "n")
     sketch = sketch_of(described)
     least = info.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))  # equal sets: the least id stands for them
     mapped = every.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("data").alias("data"))
@@ -522,8 +545,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     large = found.where(F.col("pivot").isNotNull()).drop("a", "b")
     if not large.isEmpty():
         links = links.unionByName(join_across(large))
-    comp = components(links, "a", "b").select(F.col("node.node").alias("node"), F.col("root.id").alias("root"))
+    comp = components(links, "a", "b").select(F.col("node.node").alias("node"), F.col("root.id").alias("root"), F.col("root.node").alias("group"))
     out = info.join(least.withColumnRenamed("id", "own"), "node", "left").join(comp, "node", "left")
-    root = F.coalesce("root", "own", "id")
-    none = F.lit((1 << 63) - 1)
-    return out.select(F.nullif("id", none).alias(key), F.col("n").alias("n_shingles"), F.nullif(root, none).alias("component_id"))
+    return out.select("id", "tag", F.col("n").alias("n_shingles"), F.coalesce("root", "own", "id").alias("root"), F.coalesce("group", "node").alias("group"))

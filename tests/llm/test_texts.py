@@ -33,22 +33,105 @@ def test_language_is_learned(spark):
     assert all(0 <= s <= 1 for _, s in got.values())
 
 
-def test_profile_counts():
-    s, letters = langid.symbols("Ab ab!")
-    assert letters and s.tolist() == [0, 1, 2, 0, 1, 2, 0]
-    c = Counter(langid.grams(s).tolist())
-    assert c[1] == 2 and c[2] == 2 and c[64 + 64 * 1 + 2] == 2 and c[64 + 4096 + 1 * 64 + 2] == 2
-    assert langid.document_profile("") is None and langid.document_profile(None) is None
-
-
-def test_language_of_odd_texts(docs, nothing, rows):
-    p = langid.fit(docs)
-    got = langid.identify(docs.select("doc_id", "text"), p).collect()
-    assert len(got) == len(rows)
-    assert all(r.lang_pred == "und" for r in got if not any(c.isalpha() for c in r.text or ""))
+def plain_profile(text):
+    """N-grams of a text by falling frequency, counted in strings."""
+    import unicodedata
+
+    low = (text or "").lower()
+    kind = [unicodedata.category(c)[0] for c in low]
+    if "L" not in kind:
+        return []
+    s = re.sub("\0+", "\0", "\0" + "".join(c if k in "LM" else "\0" for c, k in zip(low, kind)) + "\0")
+    n = Counter()
+    for i, c in enumerate(s):
+        if c != "\0":
+            n[c] += 1
+            n[s[i - 1 : i + 2]] += 1
+        if i:
+            n[s[i - 1 : i + 1]] += 1
+    return sorted(n, key=lambda g: (-n[g], len(g), g))
+
+
+def plain_language(text, learned, top=300):
+    """(language, score) by the distance of ranks, with profiles as lists of strings."""
+    doc = plain_profile(text)[:top]
+    if not doc or not learned:
+        return "und", 0.0
+    away = {}
+    for lg in sorted(learned):
+        rank = {g: i for i, g in enumerate(learned[lg])}
+        away[lg] = sum(abs(rank[g] - i) if g in rank else top for i, g in enumerate(doc))
+    best = min(away, key=lambda lg: (away[lg], lg))
+    return best, 1 - away[best] / (top * len(doc))
+
+
+def plain_profiles(rows, top=300):
+    from lectern.llm.langid import _kinds  # noqa: F401
+
+    n = defaultdict(Counter)
+    for t, lg in rows:
+        if t is not None and lg is not None:
+            grams = Counter()
+            s = [t]
+            for x in s:
+                low = re.sub("\0+", "\0", "\0" + "".join(c if _kinds()[ord(c)] else "\0" for c in x.lower()) + "\0")
+                if any(_kinds()[ord(c)] == 2 for c in low):
+                    for i, c in enumerate(low):
+                        if c != "\0":
+                            grams[c] += 1
+                            grams[low[i - 1 : i + 2]] += 1
+                        if i:
+                            grams[low[i - 1 : i + 1]] += 1
+            n[lg] += grams
+    return {lg: sorted(c, key=lambda g: (-c[g], len(g), g))[:top] for lg, c in n.items() if c}
+
+
+ALPHABETS = ["Привет мир, здравей свят", "Zażółć gęślą jaźń", "नमस्ते दुनिया", "日本語のテキスト", "İstanbul ÇOK güzel", "ΟΔΥΣΣΕΥΣ", "\u0301\u0300", "a\u0301 b", "12 !?", "ﬁx", "\U000323af x"]
+
+
+def test_languages_equal_a_plain_version(spark, rows, docs, nothing):
+    every = [(i, t, lg) for i, t, lg, *_ in rows] + [(1000 + i, t, "xyz"[i % 3]) for i, t in enumerate(ALPHABETS)]
+    df = spark.createDataFrame(every, "doc_id bigint, text string, lang string").repartition(5)
+    p = langid.fit(df)
+    want = plain_profiles([(t, lg) for _, t, lg in every])
+    assert p.langs == sorted(want)
+    got = langid.identify(df.select("doc_id", "text", F.lit("old").alias("score")), p)
+    assert got.columns == ["doc_id", "text", "lang_pred", "score"]
+    for r in got.collect():
+        lg, score = plain_language(r.text, want)
+        assert r.lang_pred == lg and abs(r.score - score) < 1e-12
+    assert {r.lang_pred for r in got.where("text in ('\u0301\u0300', '12 !?')").collect()} == {"und"}
     empty = langid.fit(nothing)
-    assert empty.langs == [] and langid.classify("text", empty) == ("und", 0.0)
-    assert langid.identify(nothing, empty).collect() == []
+    assert empty.langs == [] and langid.classify(["text"], empty)[0] == ["und"]
+    assert langid.identify(nothing, empty).collect() == [] and langid.identify(nothing, p).collect() == []
+
+
+def test_profiles_of_many_texts_at_once(rows, monkeypatch):
+    """Texts are counted alike alone, together and in parts."""
+    texts = [r[1] for r in rows] + ALPHABETS + [ALPHABETS[0] * 3000]
+    whole = langid.document_profiles(texts)
+    alone = [langid.document_profiles([t]) for t in texts]
+    for i in range(len(texts)):
+        assert whole[2][whole[0] == i].tolist() == alone[i][2].tolist()
+    for part in (60_000, 997):
+        monkeypatch.setattr(langid, "PART", part)
+        again = langid.document_profiles([t for t in texts if not t or len(t) < 2900 or " " in t])
+        assert sorted(again[2].tolist()) == sorted(x for a, t in zip(alone, texts) if not t or len(t) < 2900 or " " in t for x in a[2].tolist())
+
+
+def test_languages_held_out(spark):
+    """The query's own split: what is held out is never learned from, and is predicted well."""
+    import zlib
+
+    sf = "/root/testdata/sf0.01"
+    got = queries.op2_language_id(spark, sf).collect()
+    lang = {r.doc_id: (r.lang, r.text) for r in queries.documents(spark, sf).collect()}
+    assert len(got) == len(lang)
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    judged = [r for r in held if lang[r.doc_id][0] and any(c.isalpha() for c in lang[r.doc_id][1] or "")]
+    assert sum(r.lang_pred == lang[r.doc_id][0] for r in judged) >= 0.98 * len(judged) > 100
+    assert all(0 <= r.score <= 1 for r in got)
 
 
 # --- mixing --------------------------------------------------------------------------------------
@@ -109,6 +192,8 @@ def test_splits_are_even(spark):
 def test_drawn_rows(docs, nothing):
     got = mixing.draw(docs)
     assert got.columns == [*docs.columns, "mix_shard"]
+    clash = docs.withColumnsRenamed({"h": "mix_shard", "id": "mix_size", "tag": "row", "label": "key"})
+    assert mixing.draw(clash, shard=None).columns == clash.columns and mixing.draw(clash).where("mix_size <> 'x' or row <> 'y' or mix_shard < 0").count() == 0
     n = Counter(r.doc_id for r in got.collect())
     assert max(n[i] for i in range(60) if i != 4) <= 3
     assert mixing.draw(nothing).collect() == [] and mixing.mix(nothing).collect() == []
@@ -142,6 +227,106 @@ def test_base_places(docs, rows, spark):
     assert got == sorted(want, key=str)
 
 
+def plain_ends(markup, words, at):
+    """All ends of runs that a template accepts from a place, by trying every choice."""
+    import functools
+
+    parts = re.findall(licences.MARKUP, markup.lower())
+
+    def closing(i):
+        depth = 0
+        for j in range(i, len(parts)):
+            depth += (parts[j] == "[[") - (parts[j] == "]]")
+            if not depth:
+                return j
+
+    @functools.cache
+    def ends(i, k):
+        if i == len(parts):
+            return frozenset([k])
+        if parts[i] == "[[":
+            return ends(i + 1, k) | ends(closing(i) + 1, k)
+        if parts[i] == "]]":
+            return ends(i + 1, k)
+        if parts[i][0] == "{":
+            return frozenset().union(*[ends(i + 1, j) for j in range(k, min(k + int(parts[i][1:-1]), len(words)) + 1)])
+        return ends(i + 1, k + 1) if k < len(words) and words[k] == parts[i].encode() else frozenset()
+
+    return ends(0, at)
+
+
+def plain_scan(text):
+    """Labels by place, trying every template at every word."""
+    words = (text or "").encode().translate(licences.compiled().table).split()
+    found = {}
+    for label, texts in licences.TEMPLATES.items():
+        for markup in texts:
+            for at in range(len(words)):
+                if e := max(plain_ends(markup, words, at), default=0):
+                    found[at, label] = max(found.get((at, label), 0), e)
+    return sorted((at, e, label) for (at, label), e in found.items())
+
+
+def template_texts(rng):
+    """Texts that templates accept, with choices made by chance, and broken ones."""
+    out = []
+    for texts in licences.TEMPLATES.values():
+        for markup in texts:
+            for broken in (False, True):
+                flat, depth, skip = [], 0, 0
+                for part in re.findall(licences.MARKUP, markup):
+                    if part == "[[":
+                        depth += 1
+                        skip = skip or depth * rng.randint(0, 1)
+                    elif part == "]]":
+                        skip = 0 if skip == depth else skip
+                        depth -= 1
+                    elif not skip:
+                        flat += [rng.choice(["x", "the", "license"]) for _ in range(rng.randint(0, int(part[1:-1])))] if part[0] == "{" else [part]
+                if broken:
+                    flat.insert(rng.randrange(1, len(flat)), "unlike")
+                out.append("Foo, " + rng.choice([" ", "\n", ". "]).join(w.upper() if rng.random() < 0.1 else w for w in flat) + " bar")
+    return out
+
+
+def test_templates_equal_every_choice():
+    import random
+
+    rng = random.Random(6)
+    for t in template_texts(rng) + [" ".join(rng.choice("licensed under the terms of apache license version cc by nc 2 gnu general public copyright c all rights reserved".split()) for _ in range(60)) for _ in range(40)]:
+        assert sorted(f[:3] for f in licences.scan(t)[2]) == plain_scan(t)
+    full = [t for t in template_texts(random.Random(7))]
+    assert sum(bool(plain_scan(t)) for t in full) >= len(full) // 2
+
+
+def test_licence_query_equals_a_plain_version(spark):
+    """Labels and score of the query, on texts of the tables and on license texts."""
+    import random
+
+    docs = [r for r in queries.documents(spark, "/root/testdata/sf0.001").collect()]
+    got = {r.doc_id: r for r in queries.op6_license_scans(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(docs)
+    texts = {r.doc_id: r.text for r in docs if r.text is None or len(r.text) < 4000}
+    for i, t in enumerate(template_texts(random.Random(8)), 10**6):
+        texts[i] = t
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got |= {r.doc_id: r for r in licences.scan_documents(df.where("doc_id >= 1000000")).collect()}
+    for i, t in texts.items():
+        found, r = plain_scan(t), got[i]
+        base = set(filter(None, r.base_labels.split(",")))
+        assert r.labels == ",".join(sorted(base | {x for _, _, x in found}))
+        assert (r.score > 0) == bool(found or base) and (r.score >= 0.5) == bool(base) or found
+
+
+def test_scans_are_linear():
+    """A text of 20 MB, full of what runs begin with, takes seconds."""
+    import time
+
+    began = time.time()
+    n, base, found = licences.scan("cc by " * 1_500_000 + "word license " * 900_000)
+    assert n == 4_800_000 and len(base) == 1_500_000 and found == [] and time.time() - began < 60
+
+
 def test_no_licences_in_nothing(nothing):
     assert licences.scan_documents(nothing).collect() == []
 
@@ -164,6 +349,44 @@ def test_classifier_separates(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
 
 
+def test_classifier_keeps_other_columns(spark, docs):
+    m = compression.Model(b"good words " * 20, b"#$%&" * 50, np.array([0.1, 1.0, 0.5, -0.5]))
+    clash = docs.select("doc_id", "text", "score", F.col("h").alias("row"))
+    got = compression.score(clash, m)
+    assert got.columns == ["doc_id", "text", "row", "score", "predicted"] and got.where("row <> 'h'").count() == 0
+    sizes = compression.Sizes(m.good, m.bad)
+    for r in got.collect():
+        z = m.weights @ np.array([1, *sizes.features(r.text)])
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_bounds_of_learning(spark):
+    rows = [(i, "x" * (10 + i)) for i in range(50)] + [(100, "y" * 5000), (101, None), (7, "again"), (7, "again")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    labels = df.select("doc_id", F.lit(1).alias("label"))
+    good, bad = compression.chosen(df, labels, "text", "label", "doc_id", 20, 300, 1000)
+    assert bad == [] and 0 < len(good) <= 20 and sum(map(len, good)) <= 300 and set(good) <= {t for _, t in rows}
+    every, _ = compression.chosen(df, labels, "text", "label", "doc_id", 100, 10**6, 1000)
+    assert sorted(set(every)) == sorted({t for i, t in rows if t and i != 100})
+
+
+def test_quality_held_out(spark):
+    """The query's own split: nothing that is held out is learned from, and is told apart well."""
+    import zlib
+
+    sf = "/root/testdata/sf0.01"
+    got = queries.op7_quality_classifier(spark, sf).collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert len(got) == queries.documents(spark, sf).count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    judged = [(r.score, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
+    good, bad = [s for s, y in judged if y], [s for s, y in judged if not y]
+    auc = np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
+    right = np.mean([(s >= 0.5) == y for s, y in judged])
+    assert len(judged) > 100 and auc > 0.97 and right > 0.95
+
+
 def test_classifier_without_examples(nothing, docs):
     m = compression.fit(nothing, nothing.select("doc_id", F.lit(1).alias("label")))
     assert all(r.score == 0.5 for r in compression.score(docs.select("doc_id", "text"), m).collect())
@@ -340,3 +563,136 @@ def test_digests_do_not_depend_on_the_batch():
     assert fingerprints.likeness(fingerprints.parse(""), fingerprints.parse("")) == 1.0
     assert fingerprints.likeness(fingerprints.parse(""), d) == 0.0
     assert base64.b64decode(together[-1].partition(":")[2])
+
+
+def test_pieces_of_long_and_odd_texts(library):
+    """Texts that are encoded in parts, at every place where they can be cut."""
+    import random
+
+    rng = random.Random(9)
+    bits = ["word", "  ", " ", "\n", "▁", " ▁", "é日本", "🎉", "x" * 40, "1234", "\t", "the cat"]
+    texts = ["".join(rng.choice(bits) for _ in range(n)) for n in (30_000, 90_000, 250_000)] + ["a" * 700_000, " " * 600_000, "b " * 400_000, "▁" * 200_000 + " c"]
+    m = pieces.PieceModel(queries.piece_model_path())
+    for t in texts:
+        e, d = m.encode(t)
+        ids = library.encode(t, add_bos=True, add_eos=True)
+        assert e.ids.tolist() == ids and d == library.decode(ids)
+        raw = t.encode()
+        assert (e.begin[2:-1] == e.end[1:-2]).all() and e.begin[1] == 0 and e.end[-2] == len(raw)
+
+
+def test_pieces_through_a_character_map(spark, tmp_path):
+    """A model whose map rewrites characters: ids and decoded texts are the library's, spans are of the source."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(queries.piece_model_path(), "rb") as f:
+        proto.ParseFromString(f.read())
+    trie = _trie({"ﬁ".encode(): 0, "Å".encode(): 3, "Å".encode(): 3, "　".encode(): 6})
+    blob = len(trie).to_bytes(4, "little") + trie + "fi\0å\0 \0".encode()
+    proto.normalizer_spec.precompiled_charsmap = blob
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    path = tmp_path / "mapped.model"
+    path.write_bytes(proto.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = ["ﬁne ﬁles of Ångström", "  two　 spaces  ", "Å", "", "plain text", "Å　　ﬁ", "日本 ▁ x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    m = pieces.PieceModel(str(path))
+    for r in pieces.encode_documents(df, str(path)).collect():
+        ids = library.encode(texts[r.doc_id], add_bos=True, add_eos=True)
+        assert r.ids == ids and r.decoded == library.decode(ids)
+        raw = texts[r.doc_id].encode()
+        got = [raw[a:b].decode() for a, b in zip(r.begins[1:-1], r.ends[1:-1])]
+        assert "".join(got).strip(" 　") == texts[r.doc_id].strip(" 　")
+        assert m.normalise(raw)[0].decode().replace("▁", " ")[1:] == r.decoded
+
+
+def plain_digest(text, ranks):
+    """The fingerprint of a text, feature by feature."""
+    if not text:
+        return ""
+    if len(text) < 128:
+        w = min(6, len(text))
+        at = [(i, i + w) for i in range(len(text) - w + 1)]
+    else:
+        e = fingerprints.entropies(np.frombuffer(text, np.uint8))
+        key = [int(ranks[x]) for x in e]
+        points, runs = Counter(), max(1, len(key) - 63)
+        for r in range(runs):
+            points[min(range(r, min(r + 64, len(key))), key=lambda i: (key[i], i))] += 1
+        need = min(max(max(len(key) - 63, 0) // 64, 1), 16)
+        at = [(i, i + 64) for i in sorted(points) if points[i] >= need and key[i] < fingerprints.NEVER]
+        at = at or [(i, i + 64) for i in [max(range(len(key)), key=lambda i: (points[i], -i))]]
+    seen = {}
+    for a, b in at:
+        part = np.frombuffer(text[a:b], np.uint8)
+        h = int(fingerprints.span_hash(fingerprints.prefix_hash(part), np.array([0]), np.array([len(part)]))[0])
+        seen.setdefault(h, len(seen))
+    filters = np.zeros((-(-len(seen) // 160), 2048), np.uint8)
+    for h, k in seen.items():
+        for i in range(5):
+            filters[k // 160, h >> 11 * i & 2047] = 1
+    return f"{len(seen)}:{base64.b64encode(np.packbits(filters, axis=1).tobytes()).decode()}"
+
+
+def plain_likeness(x, y):
+    if not x or not y:
+        return float(x == y)
+    (nx, fx), (ny, fy) = ((int(s.split(":")[0]), np.unpackbits(np.frombuffer(base64.b64decode(s.split(":")[1]), np.uint8)).reshape(-1, 2048)) for s in (x, y))
+    if (len(fy), ny, np.packbits(fy).tobytes()) < (len(fx), nx, np.packbits(fx).tobytes()):
+        (nx, fx), (ny, fy) = (ny, fy), (nx, fx)
+    count = lambda n, k, f: 160 if k < len(f) - 1 else n - 160 * (len(f) - 1)
+    q, top, weight, rows = (1 - 1 / 2048) ** 5, 0, 0, [count(nx, k, fx) for k in range(len(fx))]
+    for a, n in zip(fx, rows):
+        if n < min(16, max(rows)):
+            continue
+        best = 0.0
+        for k, b in enumerate(fy):
+            m = count(ny, k, fy)
+            most, chance = float(min(a.sum(), b.sum())), 2048 * (1 - q**n - q**m + q ** (n + m))
+            cut = min(chance + 0.3 * max(most - chance, 0), most - 1)
+            best = max(best, min(max((int((a & b).sum()) - cut) / max(most - cut, 1), 0), 1))
+        top, weight = top + best * n, weight + n
+    return top / weight
+
+
+def test_fingerprints_equal_a_plain_version(spark):
+    """The query's digests and likenesses, feature by feature and filter by filter."""
+    sf = "/root/testdata/sf0.001"
+    docs = queries.documents(spark, sf)
+    ranks = fingerprints.fit_ranks(docs)
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    order = sorted(text)
+    following = dict(zip(order, order[1:] + order[:1]))
+    got = queries.op10_fingerprints(spark, sf).collect()
+    assert len(got) == len(text)
+    made = {i: plain_digest(t.encode(), ranks) for i, t in text.items()}
+    for r in got:
+        new = fingerprints.edited(text[r.doc_id], text[following[r.doc_id]]).encode()
+        assert r.fingerprint == made[r.doc_id] and r.edited_fingerprint == plain_digest(new, ranks)
+        assert abs(r.near_edited - plain_likeness(r.fingerprint, r.edited_fingerprint)) < 1e-9
+        assert abs(r.near_next - plain_likeness(r.fingerprint, made[following[r.doc_id]])) < 1e-9
+
+
+def test_long_texts_have_the_same_features(monkeypatch):
+    rng = np.random.default_rng(4)
+    ranks = rng.permutation(1001).astype(np.int32)
+    texts = [bytes(rng.integers(97, 115, n).astype(np.uint8)) for n in (5000, 30000)] + [b"ab" * 9000, b"z" * 20000]
+    whole = [str(fingerprints.digest_texts([t], ranks)[0]) for t in texts]
+    for part in (1000, 2049):
+        monkeypatch.setattr(fingerprints, "PART", part)
+        assert [str(fingerprints.digest_texts([t], ranks)[0]) for t in texts] == whole
+    monkeypatch.setattr(fingerprints, "PAIRS", 1)
+    d = [fingerprints.parse(x) for x in whole]
+    assert abs(fingerprints.likeness(d[0], d[1]) - plain_likeness(whole[0], whole[1])) < 1e-9
+
+
+def test_neighbours_of_one_key(spark):
+    """Many rows of one key lie in many ranges, and each row has its neighbour."""
+    rows = [(7 if i % 3 else None, f"text number {i} " * 9) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    h = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, h[r[1]]))
+    want = Counter(hashlib.sha256(fingerprints.edited(a[1], b[1]).encode()).hexdigest() for a, b in zip(order, order[1:] + order[:1]))
+    assert Counter(r.edited_sha256 for r in fingerprints.fingerprint_neighbours(df).collect()) == want
