@@ -4,11 +4,16 @@ A template is license wording with regions marked as in public license lists:
 ``[[...]]`` may be left out, ``{n}`` stands for any n words at most (a version, a name).
 Each template becomes a token automaton whose states are positions in the compiled
 token list; it accepts a run of words whose mandatory wording is exactly the
-template's.  Runs start only where a template's first mandatory word can stand, so
-texts without such words cost no more than their tokenisation.
+template's.  Runs start only where a template's first word can stand, and only in texts that
+have a word without which no template can be accepted, so other texts cost no more than their
+tokenisation; the rest is linear in the text.
 
 Base phrases are found beside the templates.  Words are maximal runs of ASCII letters
 and digits and of bytes above 0x7F, with A-Z lower-cased.
+
+Defined results: empty and null texts have no words and no labels; each row has its own result, so repeated
+rows and equal keys keep theirs; an empty table gives an empty result; of matches at one place
+each label's longest run counts.
 """
 
 from __future__ import annotations
@@ -18,63 +23,52 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES
+
 #: fixed values: base phrases and their labels
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-
-#: wording of license notices in the markup above, and their labels
-TEMPLATES = {
-    "gpl-notice": ["[[this work is]] [[this program is]] licensed under [[the terms of]] the gnu general public license [[version {2}]]", "under the terms of the gnu general public license as published by the free software foundation [[either]] [[version {2}]]"],
-    "lgpl-notice": ["licensed under [[the terms of]] the gnu lesser general public license [[version {2}]]"],
-    "agpl-notice": ["licensed under [[the terms of]] the gnu affero general public license [[version {2}]]"],
-    "apache-notice": ["licensed under the apache license version {2}", "licensed under the apache license [[version {2}]] the license you may not use this file except in compliance with the license"],
-    "cc-by-notice": ["licensed under [[a]] cc by [[nc]] [[sa]] [[nd]] {2}", "licensed under [[a]] [[the]] creative commons attribution [[noncommercial]] [[sharealike]] {2} [[international]] license"],
-    "mit-notice": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
-    "bsd-notice": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "mpl-notice": ["this source code form is subject to the terms of the mozilla public license v {2}"],
-    "rights-reserved": ["all rights reserved"],
-    "copyright-notice": ["copyright [[c]] {1} [[by]] {4} all rights reserved"],
-}
+MARKUP = r"\[\[|\]\]|\{\d+\}|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 class Automaton(NamedTuple):
     label: str
-    tokens: list[str | int]  # a word, or how many words at most a replaceable region takes
+    tokens: list[bytes | int]  # a word, or how many words at most a replaceable region takes
     skips: list[tuple[int, ...]]  # states that a state leads to without a word
     words: int  # mandatory words
+    needed: bytes  # the longest of them
 
 
 def compile_template(label: str, markup: str) -> Automaton:
-    tokens: list[str | int] = []
+    tokens: list[bytes | int] = []
     jumps: dict[int, list[int]] = {}
     opened: list[int] = []
-    for part in re.findall(r"\[\[|\]\]|\{\d+\}|[^\s\[\]{}]+", markup):
+    for part in re.findall(MARKUP, markup.lower()):
         if part == "[[":
             opened.append(len(tokens))
         elif part == "]]":
             jumps.setdefault(opened.pop(), []).append(len(tokens))
         else:
-            tokens.append(int(part[1:-1]) if part[0] == "{" else part)
+            tokens.append(int(part[1:-1]) if part[0] == "{" else part.encode())
     for i, t in enumerate(tokens):
         if isinstance(t, int):
             jumps.setdefault(i, []).append(i + 1)
-    optional = set()
-    for a, ends in jumps.items():
-        for b in ends:
-            optional |= set(range(a, b))
-    return Automaton(label, tokens, [tuple(jumps.get(i, ())) for i in range(len(tokens) + 1)], sum(i not in optional for i in range(len(tokens))))
+    optional = {i for start, ends in jumps.items() for end in ends for i in range(start, end)}
+    must = [t for i, t in enumerate(tokens) if i not in optional]
+    return Automaton(label, tokens, [tuple(jumps.get(i, ())) for i in range(len(tokens) + 1)], len(must), max(must, key=len))
 
 
-def first_words(a: Automaton) -> set[str]:
+def first_words(a: Automaton) -> set[bytes]:
     """Words that an accepted run can begin with; a template may not begin with a replaceable region."""
     todo, out = [0], set()
     while todo:
         i = todo.pop()
         todo += a.skips[i]
-        if i < len(a.tokens) and isinstance(a.tokens[i], str):
+        if i < len(a.tokens) and isinstance(a.tokens[i], bytes):
             out.add(a.tokens[i])
     return out
 
@@ -83,7 +77,7 @@ def accept(a: Automaton, words: list[bytes], at: int) -> int:
     """End of the longest accepted run of ``words`` from ``at``; 0 if there is none.
 
     A state is (position, words that the replaceable region there has taken)."""
-    tokens, end = [t.encode() if isinstance(t, str) else t for t in a.tokens], 0
+    tokens, end = a.tokens, 0
 
     def closed(states: set[tuple[int, int]]) -> set[tuple[int, int]]:
         todo = list(states)
@@ -117,50 +111,58 @@ def accept(a: Automaton, words: list[bytes], at: int) -> int:
     return end
 
 
+class Compiled(NamedTuple):
+    by_word: dict[bytes, list[Automaton]]  # by the words that runs begin with
+    first: re.Pattern  # those words
+    needed: re.Pattern  # words one of which every template has
+    base: re.Pattern  # a base phrase; phrases may overlap
+    table: bytes  # leaves words and spaces
+
+
 @lru_cache(maxsize=1)
-def compiled() -> tuple[dict[bytes, list[Automaton]], re.Pattern, bytes]:
-    """Automata by first word, a pattern of those words, and the byte table that leaves words and spaces."""
+def compiled() -> Compiled:
     by_word: dict[bytes, list[Automaton]] = {}
+    needed = set()
     for label, texts in TEMPLATES.items():
         for text in texts:
             a = compile_template(label, text)
+            needed.add(a.needed)
             for w in first_words(a):
-                by_word.setdefault(w.encode(), []).append(a)
+                by_word.setdefault(w, []).append(a)
     table = bytes(b if b > 127 or chr(b).isdigit() or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-    pattern = re.compile(b"(?<= )(?:" + b"|".join(sorted(map(re.escape, by_word), reverse=True)) + b")(?= )")
-    return by_word, pattern, table
-
-
-#: words one of which every template has; a text without any is done with its base phrases
-NEEDED = (b" license", b" licensed", b" rights reserved", b" hereby granted", b" redistribution", b" copyright")
+    either = lambda words: b"|".join(sorted(map(re.escape, words), reverse=True))
+    return Compiled(by_word, re.compile(b"(?<= )(?:" + either(by_word) + b")(?= )"), re.compile(b" (?:" + either(needed) + b") "), re.compile(b"(?<= )(?=(" + either(p.encode() for p in BASE) + b") )"), table)
 
 
 def scan(text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, str, float]]]:
     """(words, base places as (first word, label), template matches as (first word, end, label, share of the words)).
 
     Null counts as empty."""
-    by_word, pattern, table = compiled()
-    words = (text or "").encode().translate(table).split()
+    c = compiled()
+    words = (text or "").encode().translate(c.table).split()
     line = b" " + b" ".join(words) + b" "
-    base, found = [], []
-    for phrase, label in BASE.items():
-        p, at = b" " + phrase.encode() + b" ", -1
-        while (at := line.find(p, at + 1)) >= 0:
-            base.append((line.count(b" ", 0, at), label))
-    if any(x in line for x in NEEDED):
-        for m in pattern.finditer(line):
-            at = line.count(b" ", 0, m.start()) - 1
-            for a in by_word[m[0]]:
-                if end := accept(a, words, at):
-                    found.append((at, end, a.label, min(1.0, a.words / (end - at))))
-    return len(words), sorted(base), found
+    phrases = [(m.start(), BASE[m[1].decode()]) for m in c.base.finditer(line)]
+    starts = [(m.start(), m[0]) for m in c.first.finditer(line)] if c.needed.search(line) else []
+    if not phrases and not starts:
+        return len(words), [], []
+    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)  # each word is after one
+    number = lambda found: np.searchsorted(spaces, [at for at, _ in found]) - 1
+    base = [(int(i), label) for i, (_, label) in zip(number(phrases), phrases)]
+    found = []
+    for i, (_, word) in zip(number(starts), starts):
+        best: dict[str, tuple[int, float]] = {}
+        for a in c.by_word[word]:
+            if end := accept(a, words, int(i)):
+                best[a.label] = max(best.get(a.label, (0, 0.0)), (end, min(1.0, a.words / (end - int(i)))))
+        found += [(int(i), end, label, share) for label, (end, share) in best.items()]
+    return len(words), base, found
 
 
 def scan_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: key, n_words, n_base, first_word and last_word (of base places;
     null if none), base_labels, labels (with those of templates), score, and matches, the templates'
     spans.  The score is 1 if a template matches, 0.5 for base phrases alone, else 0, times what the
-    matched wording is of its span.  Empty and null texts have no words and no labels."""
+    matched wording is of its span."""
     kind = docs.schema[key].dataType.simpleString()
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]
     schema = f"{key} {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, matches array<struct<first:bigint,last:bigint,label:string>>"
@@ -179,4 +181,4 @@ def scan_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, types)]], names=[key, *names])
 
-    return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, schema)
