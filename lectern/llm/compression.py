@@ -6,8 +6,13 @@ size, says which kind of text it is like.  Logistic regression on labelled texts
 that the dictionaries haven't seen turns it into a probability, together with the
 sizes' ratio to the text (how repetitive it is).
 
-What is gathered on the driver is bounded by ``FIT_ROWS`` labelled texts of each class,
-of ``FIT_BYTES`` bytes in all (texts are taken whole, in hash order).
+What is gathered on the driver is bounded by ``FIT_ROWS`` labelled texts and ``FIT_BYTES`` bytes
+of each class, texts whole and in hash order; labelled texts of more than ``FIT_LONGEST`` bytes
+are not learned from.  Both bounds are applied to keys and lengths, before any text moves.
+
+Defined results: null and empty texts get the score of features 0; repeated rows are scored alike;
+rows of one key are each learned from; a key with both labels counts for both; an empty table gives an
+empty result; without texts of both classes every score is the share of label 1 (0.5 without any).
 """
 
 from __future__ import annotations
@@ -16,12 +21,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIT_ROWS = 1500
 FIT_BYTES = 16 << 20
+FIT_LONGEST = 1 << 18
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 3
 
@@ -82,24 +88,34 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", rows: int = FIT_ROWS) -> Model:
-    """A model from ``docs(key, text)`` and ``labels(key, label)``, labels 0 or 1: of each class the
-    texts of at most ``rows`` keys, first by a hash of the key.  Keys are chosen among the labels, so
-    only the chosen texts move.  Of three in four of them the dictionaries are built; with the rest the
-    score is calibrated.  Without texts of both classes every score is the share of label 1 (0.5
-    without any)."""
-    good_bad = []
+def chosen(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, rows: int, bytes_: int, longest: int) -> list[list[str]]:
+    """Texts of label 1 and of label 0 to learn from, in hash order of their keys."""
+    spark, out = docs.sparkSession, []
+    t = F.col(f"`{text}`").cast("string")
     for k in (1, 0):
         own = labels.where((F.col(label) == k) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(F.col(key).cast("string")).alias("h")).distinct()
-        chosen = F.broadcast(own.orderBy("h", "k").limit(rows))  # at most ``rows`` keys
-        found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(chosen, "k")
-        got, total = [], 0
-        for r in found.orderBy("h", "t").limit(rows).toLocalIterator():
-            got.append(r.t)
-            total += len(r.t)
-            if total > FIT_BYTES:
-                break
-        good_bad.append(got)
+        some = F.broadcast(own.orderBy("h", "k").limit(rows))  # at most ``rows`` keys
+        sizes = docs.select(F.col(f"`{key}`").alias("k"), F.octet_length(t).alias("n"), F.xxhash64(t).alias("x")).where(F.col("n") <= longest)
+        sizes = sizes.join(some, "k").orderBy("h", "k", "x").limit(rows)
+        taken, total = [], 0
+        for r in sizes.collect():  # keys and lengths of at most ``rows`` texts
+            if total + r.n <= bytes_:
+                total += r.n
+                taken.append((r.k, r.x))
+        if not taken:
+            out.append([])
+            continue
+        kind = docs.schema[key].dataType.simpleString()
+        wanted = F.broadcast(spark.createDataFrame(sorted(set(taken)), f"k {kind}, x bigint"))
+        found = docs.select(F.col(f"`{key}`").alias("k"), F.xxhash64(t).alias("x"), t.alias("t")).join(wanted, ["k", "x"])
+        out.append([r.t for r in found.orderBy(F.xxhash64(F.col("k").cast("string")), "k", "x").limit(rows).collect()])
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", rows: int = FIT_ROWS, bytes_: int = FIT_BYTES, longest: int = FIT_LONGEST) -> Model:
+    """A model from ``docs(key, text)`` and ``labels(key, label)``, labels 0 or 1.  Of three in four of the
+    texts of a class the dictionary is built; with the rest the score is calibrated."""
+    good_bad = chosen(docs, labels, text, label, key, rows, bytes_, longest)
     good, bad = good_bad
     build = [[t.encode() for i, t in enumerate(c) if i % 4 != 3] for c in good_bad]
     dictionaries = [build_dictionary(b) for b in build]
@@ -113,15 +129,17 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with score and predicted.  Null and empty texts get the score of features 0."""
+    """``docs`` with score and predicted, which take the place of columns of these names."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries, of DICTIONARY_BYTES at most
 
-    @F.pandas_udf("double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = held.value
         sizes = Sizes(m.good, m.bad)
         for texts in batches:
-            x = np.array([sizes.features(t) for t in texts]).reshape(-1, 3)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(m.weights[0] + x @ m.weights[1:], -30, 30))))
+            x = np.array([sizes.features(t.as_py()) for t in texts]).reshape(-1, 3)
+            yield pa.array(1 / (1 + np.exp(-np.clip(m.weights[0] + x @ m.weights[1:], -30, 30))))
 
-    return docs.withColumn("score", predict(F.col(text))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
+    made = docs.select(F.struct(*others).alias("row"), predict(F.col(f"`{text}`")).alias("score"))
+    return made.select("row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
