@@ -22,7 +22,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +40,9 @@ ENTROPIES = 1001
 #: entropies (of 1000) outside say nothing about a text
 LEAST, MOST = 100, 990
 NEVER = np.int32(1 << 20)
+#: windows of a long text, and bytes of filters, that are worked on at once
+PART = 1 << 21
+PAIRS = 16 << 20
 _SCALE = 1 << 20
 _TOTAL = 6 * WINDOW * _SCALE
 _f = np.arange(WINDOW + 2) * np.log2(np.maximum(np.arange(WINDOW + 2), 1))
@@ -80,9 +82,40 @@ def inside(chunk: Chunk, n: int) -> np.ndarray:
     return ok
 
 
+def window_parts(buf: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The windows of a buffer, PART at a time."""
+    n = len(buf) - WINDOW + 1
+    for at in range(0, n, PART):
+        yield at, min(at + PART, n)
+
+
+def long_features(buf: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Hashes of the different features of one text of more than PART windows, by place."""
+    windows, found, most = len(buf) - WINDOW + 1, [], (0, np.uint64(0))
+    for first, last in window_parts(buf):
+        a, b = max(0, first - RUN + 1), min(windows, last + RUN - 1)  # all runs that a window is in
+        piece = buf[a : b + WINDOW - 1]
+        key = ranks[entropies(piece)]
+        points = np.bincount(sliding_argmin(key, RUN), minlength=len(key))[first - a : last - a]
+        prefix = prefix_hash(piece)
+        at = np.flatnonzero((points >= POINTS) & (key[first - a : last - a] < NEVER)) + (first - a)
+        found.append(span_hash(prefix, at, at + WINDOW))
+        best = np.array([int(points.argmax())]) + (first - a)
+        if points.max() > most[0]:
+            most = int(points.max()), span_hash(prefix, best, best + WINDOW)[0]
+    h = np.concatenate(found)
+    if not len(h):
+        return np.array([most[1]], np.uint64)
+    _, at = np.unique(h, return_index=True)
+    return h[np.sort(at)]
+
+
 def features(chunk: Chunk, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of every different feature, by document and place."""
     length = np.diff(chunk.off)
+    if chunk.n == 1 and length[0] > PART + WINDOW:
+        h = long_features(chunk.buf, ranks)
+        return np.zeros(len(h), np.int64), h
     prefix = prefix_hash(chunk.buf)
     short = np.flatnonzero((length > 0) & (length < SHORT))
     width = np.minimum(length[short], SHORT_WINDOW)
@@ -169,13 +202,16 @@ def likeness(a: Digest, b: Digest) -> float:
     if (len(b.filters), b.size, b.filters.tobytes()) < (len(a.filters), a.size, a.filters.tobytes()):
         a, b = b, a
     na, nb = a.counts(), b.counts()
-    pa_, pb = np.bitwise_count(a.filters).sum(1), np.bitwise_count(b.filters).sum(1)
-    common = np.bitwise_count(a.filters[:, None, :] & b.filters[None, :, :]).sum(2).astype(float)
-    most = np.minimum(pa_[:, None], pb[None, :]).astype(float)
     q = (1 - 1 / BITS) ** HASHES
-    chance = BITS * (1 - q ** na[:, None] - q ** nb[None, :] + q ** (na[:, None] + nb[None, :]))
-    cut = np.minimum(chance + 0.3 * np.maximum(most - chance, 0), most - 1)
-    each = np.clip((common - cut) / np.maximum(most - cut, 1), 0, 1).max(1)
+    ones = np.bitwise_count(b.filters).sum(1)
+    each, step = np.empty(len(na)), max(1, PAIRS // b.filters.nbytes)
+    for at in range(0, len(na), step):  # some filters of one chain with all of the other
+        rows, n = a.filters[at : at + step], na[at : at + step, None]
+        common = np.bitwise_count(rows[:, None, :] & b.filters[None, :, :]).sum(2).astype(float)
+        most = np.minimum(np.bitwise_count(rows).sum(1)[:, None], ones[None, :]).astype(float)
+        chance = BITS * (1 - q**n - q ** nb[None, :] + q ** (n + nb[None, :]))
+        cut = np.minimum(chance + 0.3 * np.maximum(most - chance, 0), most - 1)
+        each[at : at + step] = np.clip((common - cut) / np.maximum(most - cut, 1), 0, 1).max(1)
     use = na >= min(16, na.max())
     return float((each[use] * na[use]).sum() / na[use].sum())
 
@@ -195,8 +231,12 @@ def fit_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
         total = np.zeros(ENTROPIES, np.int64)
         for batch in batches:
             for c in chunks(batch.column(0)):
-                e = entropies(c.buf)
-                total += np.bincount(e[inside(c, len(e))], minlength=ENTROPIES)
+                if c.n == 1:
+                    for first, last in window_parts(c.buf):
+                        total += np.bincount(entropies(c.buf[first : last + WINDOW - 1]), minlength=ENTROPIES)
+                else:
+                    e = entropies(c.buf)
+                    total += np.bincount(e[inside(c, len(e))], minlength=ENTROPIES)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["entropy", "n"])
 
@@ -224,17 +264,23 @@ def fingerprint_neighbours(docs: DataFrame, text: str = "text", key: str = "doc_
     spark = docs.sparkSession
     ranks = fit_ranks(docs, text)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit((1 << 63) - 1)).alias("k"), F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    first = rows.select("k", "h").repartitionByRange(parts * 4, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("k", "h")).alias("x"))
-    heads = sorted((r.x.k, r.x.h) for r in first.collect())  # one for each range
-    held = spark.sparkContext.broadcast((np.array([x[0] for x in heads], np.int64), np.array([x[1] for x in heads], np.int64), ranks))
-
-    @F.pandas_udf("range int, head boolean")
-    def place(k: pd.Series, h: pd.Series) -> pd.DataFrame:
-        ks, hs, _ = held.value
-        at = np.maximum(np.searchsorted(ks, k.to_numpy(), side="right") - 1, 0)
-        return pd.DataFrame({"range": at.astype(np.int32), "head": (ks[at] == k.to_numpy()) & (hs[at] == h.to_numpy())})
+    k, t = F.col(f"`{key}`").cast("bigint"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(k, F.lit((1 << 63) - 1)).alias("k"), k.alias("id"), t.alias("text"), F.xxhash64(t).alias("h"))
+    first = rows.select("k", "h").repartitionByRange(parts * 4, "k", "h").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("k", "h")).alias("x"))
+    heads = np.array(sorted({(r.x.k, r.x.h) for r in first.collect()}), np.int64).reshape(-1, 2)  # one for each range
+    held = spark.sparkContext.broadcast((heads, ranks))
+
+    @F.arrow_udf("range int, head boolean")
+    def place(k: pa.Array, h: pa.Array) -> pa.Array:
+        heads = held.value[0]
+        k, h = k.to_numpy(zero_copy_only=False), h.to_numpy(zero_copy_only=False)
+        begin, end = np.searchsorted(heads[:, 0], k), np.searchsorted(heads[:, 0], k, side="right")
+        at = end - 1
+        for a in np.unique(begin[begin < end]):  # keys that are in several ranges go by text hash
+            own = (begin == a) & (begin < end)
+            at[own] = a - 1 + np.searchsorted(heads[a : end[own][0], 1], h[own], side="right")
+        at = np.maximum(at, 0)
+        return pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array((heads[at, 0] == k) & (heads[at, 1] == h))], names=["range", "head"])
 
     n = max(1, len(heads))
     goes = F.array(F.struct(F.col("at.range").alias("range"), F.lit(0).alias("copy")), F.when(F.col("at.head"), F.struct(((F.col("at.range") + n - 1) % n).cast("int").alias("range"), F.lit(1).alias("copy"))))
@@ -243,7 +289,7 @@ def fingerprint_neighbours(docs: DataFrame, text: str = "text", key: str = "doc_
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = held.value[2]
+        ranks = held.value[1]
         before = None  # the row that waits for the next one: (id, text, digest)
         for batch in batches:
             at = 0
