@@ -155,7 +155,7 @@ def fuzzy_tokens(text: Column) -> Column:
 
 
 def field_key(text: Column) -> Column:
-    return F.regexp_replace(bare(text), r"(?U)[^\w]", "")
+    return F.regexp_replace(F.when(text.rlike(r"^[\x00-\x7F]*$"), F.lower(text)).otherwise(bare(text)), r"[^\p{L}\p{N}]", "")
 
 
 def alnum_form(text: Column) -> Column:

@@ -44,11 +44,28 @@ def expired(states: DataFrame, now: Column, ttl: dict[str, int] = TTL) -> DataFr
     return states.where(F.col("state").isin(TERMINAL) & (limit > 0) & (now - since >= limit))
 
 
+def oldest(states: DataFrame, many: int, buckets: int = 1000) -> DataFrame:
+    """The ``many`` oldest terminal records with their place, 1 the oldest.  A histogram of their times (a
+    number for each bucket) says in which bucket the last of them is; later ones are never sorted, and
+    the others only within their bucket."""
+    old = states.where(F.col("state").isin(TERMINAL)).withColumn("_t", F.coalesce("finished_at", "submitted_at"))
+    low, high = old.agg(F.min("_t"), F.max("_t")).first()
+    if low is None or many <= 0:
+        return old.where(F.lit(False)).withColumn("place", F.lit(0).cast("bigint")).drop("_t")
+    old = old.withColumn("_b", F.floor((F.col("_t") - low) * buckets / (high - low + 1)).cast("int"))
+    before, total = {}, 0
+    for r in old.groupBy("_b").count().orderBy("_b").collect():
+        if total >= many:
+            break
+        before[r["_b"]], total = total, total + r["count"]
+    start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_b"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_t", "request_id")) + start
+    return old.where(F.col("_b") <= max(before)).withColumn("place", place.cast("bigint")).where(F.col("place") <= many).drop("_t", "_b")
+
+
 def overflow(states: DataFrame, most: int) -> DataFrame:
     """The oldest terminal records beyond ``most`` records in all."""
-    n = states.count()
-    old = states.where(F.col("state").isin(TERMINAL)).orderBy(F.coalesce("finished_at", "submitted_at"), "request_id")
-    return old.limit(max(0, n - most))
+    return oldest(states, max(0, states.count() - most)).drop("place")
 
 
 def durations(events: DataFrame) -> DataFrame:
