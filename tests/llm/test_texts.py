@@ -425,13 +425,98 @@ def test_divergence(spark, nothing):
     assert rules.judge(nothing).collect() == []
 
 
-def test_distance_formula(spark):
-    a, b = [3, 0, 5], [1, 4, 5]
-    got = spark.range(1).select(rules._distance(F.array(*map(F.lit, a)), F.array(*map(F.lit, b)), 3).alias("d")).first().d
-    p, q = np.array(a) / 8, np.array(b) / 10
+def jensen_shannon(p, q):
+    p, q = np.array(p, float) / sum(p), np.array(q, float) / sum(q)
     m = (p + q) / 2
     kl = lambda x: sum(v * np.log2(v / k) for v, k in zip(x, m) if v)
-    assert abs(got - np.sqrt((kl(p) + kl(q)) / 2)) < 1e-12
+    return np.sqrt(max(0.0, kl(p) + kl(q)) / 2)
+
+
+def test_distance_formula(spark):
+    a, b = [3, 0, 5], [1, 4, 5]
+    got = spark.range(1).select(rules.class_distance(F.array(*[F.lit(x).cast("bigint") for x in a]), F.lit(8), F.array(*[F.lit(x / 10) for x in b])).alias("d")).first().d
+    assert abs(got - jensen_shannon(a, b)) < 1e-12
+
+
+def plain_repeats(w):
+    at = defaultdict(list)
+    for i in range(len(w) - 2):
+        at[tuple(w[i : i + 3])].append(i)
+    return len({j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 3)})
+
+
+def plain_verdicts(rows):
+    """(class distance, word distance, kept) of each (text, lang), by counters."""
+    import unicodedata
+
+    def classes(t):
+        n = [0] * 8
+        for c in t:
+            k = unicodedata.category(c)
+            n[0 if k == "Ll" else 1 if k == "Lu" else 2 if k in ("Lo", "Lt", "Lm") or k[0] == "M" else 3 if k == "Nd" else 4 if c in " \t\n\x0b\f\r" else 5 if c in "#*$%&|<>" else 6 if c in ".,;:!?'\"()-" else 7] += 1
+        return n
+
+    runs = lambda t: "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in t.lower()).split(" ")
+    words = [[w for w in runs(t or "") if w] for t, _ in rows]
+    base = [len(WORD.findall(t or "")) for t, _ in rows]
+    failed = [n < 50 or 100 * plain_repeats(WORD.findall(t or "")) > 50 * n for n, (t, _) in zip(base, rows)]
+    said = defaultdict(Counter)
+    for w, (_, lg) in zip(words, rows):
+        if lg is not None:
+            said[lg].update(x for x in w if len(x) <= 8)
+    learned = sorted({x for c in said.values() for x in sorted(c, key=lambda x: (-c[x], x))[:24]})
+    cells = lambda w: [w.count(x) for x in learned] + [sum(x not in learned for x in w)]
+    refs = {}
+    good = {lg for f, (_, lg) in zip(failed, rows) if not f}
+    for w, f, (t, lg) in zip(words, failed, rows):
+        if lg is not None and (not f or lg not in good):
+            a, b = refs.setdefault(lg, (np.zeros(8), np.zeros(len(learned) + 1)))
+            a += classes(t or "")
+            b += cells(w)
+    out = []
+    for w, f, (t, _) in zip(words, failed, rows):
+        best = None
+        for lg in sorted(lg for lg in refs if refs[lg][1].sum()):
+            x = jensen_shannon(classes(t or ""), refs[lg][0]) if len(t or "") >= 200 else None
+            y = jensen_shannon(cells(w), refs[lg][1]) if len(w) >= 50 else None
+            worse = max((x or 0) / rules.MAX_CLASS, (y or 0) / (rules.MAX_COMMON + rules.NOISE / np.sqrt(len(w)))) if w else (x or 0) / rules.MAX_CLASS
+            if best is None or worse < best[0]:
+                best = (worse, x, y)
+        out.append((*(best[1:] if best else (None, None)), not f and (best is None or best[0] <= 1)))
+    return out
+
+
+def test_verdicts_equal_a_plain_version(spark):
+    """The query's distances and verdicts, on its own table, and on salad, scripts and odd texts."""
+    import random
+
+    sf, rng = "/root/testdata/sf0.001", random.Random(3)
+    docs = [(r.doc_id, r.text, r.lang) for r in queries.documents(spark, sf).collect()]
+    got = {r.doc_id: r for r in queries.op8_quality_rules(spark, sf).collect()}
+
+    def same(rows, got):
+        for (i, *_), (x, y, kept) in zip(rows, plain_verdicts([r[1:] for r in rows])):
+            r = got[i]
+            assert (r.class_distance is None) == (x is None) and (r.common_distance is None) == (y is None), i
+            assert (x is None or abs(r.class_distance - x) < 1e-6) and (y is None or abs(r.common_distance - y) < 1e-6), i
+            assert r.kept == kept, i
+
+    same(docs, got)
+    salad = " ".join("".join(rng.choice("aeiourstlnm") for _ in range(rng.randint(3, 11))) for _ in range(6000))
+    more = docs + [(10**6, salad, "en"), (10**6 + 1, "Привет мир и все люди на земле " * 30, "ru"), (10**6 + 2, None, None), (10**6 + 3, "", "xx")]
+    got = {r.doc_id: r for r in rules.judge(spark.createDataFrame(more, "doc_id bigint, text string, lang string")).collect()}
+    same(more, got)
+    assert not got[10**6].base_failed and not got[10**6].kept  # long, but without common words
+
+
+def test_repeats_in_long_texts(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n)) for n in (5, 500, 16386, 20000)] + [" ".join(f"w{i}" for i in range(17000)), "a a a a", "x y x y x y z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.n for r in df.select("i", rules.counts(F.col("t"))["n_repeat_words"].alias("n")).collect()}
+    assert all(got[i] == plain_repeats(t.split()) for i, t in enumerate(texts))
 
 
 # --- pieces ------------------------------------------------------------------------------------------
