@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -109,12 +109,12 @@ def document_parts(x: np.ndarray, parts: int) -> np.ndarray:
     return (x["tag"].view(np.uint64) % np.uint64(parts)).astype(np.int64)
 
 
-def by_document(packed: DataFrame, dtype: np.dtype, parts: int) -> DataFrame:
+def by_document(packed: DataFrame, dtype: np.dtype, parts: int, unpack: Callable[[bytes], np.ndarray]) -> DataFrame:
     """(id, tag, data): all tuples of each document in one row, in order, whatever tasks they came from.
     ``packed`` has (part, data) by ``document_parts`` of ``parts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = [np.frombuffer(d, dtype) for batch in batches for d in batch.column(1).to_pylist()]
+        x = [unpack(d) for batch in batches for d in batch.column(1).to_pylist()]
         x = np.concatenate(x) if x else np.empty(0, dtype)
         if not len(x):
             return

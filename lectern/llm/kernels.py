@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+#: bytes of a long text that are hashed together
+PART = 1 << 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 U64 = np.uint64
@@ -127,8 +129,14 @@ def words(chunk: Chunk, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def word_hashes(chunk: Chunk, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(begin, end, first word of each document, hash) of words split at WHITE."""
     begin, end, first = words(chunk, ~WHITE)
-    buf = LOWER[chunk.buf] if lower else chunk.buf
-    return begin, end, first, span_hash(prefix_hash(buf), begin, end)
+    out, at, since = np.empty(len(begin), U64), 0, 0
+    while at < len(begin):  # some words at a time, so that a long text takes little more room than its words
+        to = max(at + 1, int(np.searchsorted(end, since + PART)))
+        stop = int(end[to - 1])
+        buf = LOWER[chunk.buf[since:stop]] if lower else chunk.buf[since:stop]
+        out[at:to] = span_hash(prefix_hash(buf), begin[at:to] - since, end[at:to] - since)
+        at, since = to, stop
+    return begin, end, first, out
 
 
 def shingle_hashes(words_: np.ndarray, k: int) -> np.ndarray:

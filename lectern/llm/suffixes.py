@@ -16,9 +16,15 @@ The order is that of hashes: only which prefixes are common counts.  Tuples go t
 ``TupleQueue``, a priority queue that keeps sorted runs on disk and merges them block by
 block, so a share of the tuples may be larger than the memory of its task.
 
+A name that is very common is settled where it is read: of the tuples of one name that a task
+reads together, those that are common already are marked at once, and only one goes on to
+meet the tuples of other tasks.  So one name has as many tuples in the task where it meets as there
+are tasks' batches that have it, whatever the number of documents.
+
 Equal texts count once as they are sorted; every byte of them is repeated.  Defined results:
-null is an empty text; texts under LENGTH bytes keep all; rows with equal keys are separate
-rows; null keys come last.
+null is an empty text; texts under LENGTH bytes keep all; texts are of less than 1 GB; rows with equal keys are separate
+rows; null keys come last; an empty table gives an empty result.  A long text is sampled in parts
+that are cut between samples, with the same samples.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dealing import by_document, document_parts, even_keys, never_null, packed_by, partitions
+from .dealing import by_document, document_parts, even_keys, never_null, partitions
 from .kernels import Chunk, chunks, prefix_hash, span_hash, spread
 
 LENGTH = 200
@@ -42,7 +48,15 @@ GRAM = 16
 HELD = 2_000_000
 BLOCK = 1 << 16
 
-SAMPLE = np.dtype([("name", "<u4"), ("wide", "<u8"), ("id", "<i8"), ("tag", "<i8"), ("at", "<u4")])
+#: tuples that are settled together where they are read
+TOGETHER = 1 << 20
+#: bytes of a long text that are sampled together
+PART = 1 << 22
+
+#: ``many``: 1 if others of its name and wide name were read with it, 2 if other wide names of its name were
+SAMPLE = np.dtype([("name", "<u8"), ("wide", "<u8"), ("id", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("many", "u1")])
+#: a sample on its way: names are told apart within their part, ``many`` is in the two highest bits of ``at``
+BRIEF = np.dtype([("name", "<u4"), ("wide", "<u8"), ("id", "<i8"), ("tag", "<i8"), ("at", "<u4")])
 INDUCED = np.dtype([("name", "<u8"), ("id", "<i8"), ("tag", "<i8"), ("at", "<u4")])
 #: what is known of a sample, and which starts are repeated
 MARK = np.dtype([("id", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("state", "u1")])
@@ -152,6 +166,27 @@ def samples(c: Chunk, length: int = LENGTH, reach: int = REACH) -> tuple[np.ndar
     return doc[first], best[first], starts[first], starts[last], prefix
 
 
+def text_parts(c: Chunk, length: int, reach: int) -> Iterator[tuple[Chunk, int]]:
+    """The chunk and 0; or the parts of one long text, each with the place where it begins.  A part ends
+    where one sample's strings end, so every sample is in one part."""
+    size = len(c.buf)
+    if c.n > 1 or size <= PART + 4 * length:
+        yield c, 0
+        return
+    at = 0
+    while at < size:
+        to = at + PART
+        if to + 4 * length < size:
+            near = c.buf[to : to + reach + 2 * length]
+            _, _, lo, _, _ = samples(Chunk(0, near, np.array([0, len(near)])), length, reach)
+            to += int(lo[1])  # the first sample's strings may have begun before
+        else:
+            to = size
+        end = min(size, to + length - 1)
+        yield Chunk(c.first, c.buf[at:end], np.array([0, end - at])), at
+        at = to if end < size or to < size else size
+
+
 def _deal(part: np.ndarray, keys: np.ndarray, tuples: np.ndarray, ids: np.ndarray, tags: np.ndarray, fields: list[str]) -> pa.RecordBatch:
     """Tuples packed by part, ids and tags once for each document of a part."""
     order = np.argsort(part, kind="stable")
@@ -197,6 +232,41 @@ def _counts(same: np.ndarray) -> np.ndarray:
 PACKED = "part int, data binary"
 
 
+def settle_samples(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(marks, tuples that go on) of samples read together: one tuple of each name goes on."""
+    t = t[np.lexsort((t["id"], t["at"], t["tag"], t["wide"], t["name"]))]
+    t = t[~_same(t, "name", "wide", "tag", "at")]  # equal texts: one document
+    same_name, same_wide = _same(t, "name"), _same(t, "name", "wide")
+    many, alike = _counts(same_name), _counts(same_wide)
+    state = np.where(alike > 1, RESOLVED, 0) | np.where((many > alike) & ~same_wide, INDUCE, 0)
+    on = t[~same_name]
+    on["many"] = np.where((many > alike)[~same_name], 2, np.where((alike > 1)[~same_name], 1, 0))
+    return _marks(t, state), on
+
+
+def _marks(t: np.ndarray, state: np.ndarray) -> np.ndarray:
+    keep = state > 0
+    y = np.empty(int(keep.sum()), MARK)
+    for f in ("id", "tag", "at"):
+        y[f] = t[f][keep]
+    y["state"] = state[keep]
+    return y
+
+
+def meet_samples(x: np.ndarray) -> np.ndarray:
+    """Marks of tuples that went on, all of their names."""
+    x = x[np.lexsort((x["id"], x["at"], x["tag"], x["many"] == 0, x["wide"], x["name"]))]
+    x = x[~_same(x, "name", "wide", "tag", "at")]
+    same_name, same_wide = _same(x, "name"), _same(x, "name", "wide")
+    many, alike = _counts(same_name), _counts(same_wide)
+    run = np.cumsum(~same_name) - 1
+    settled = np.bincount(run, x["many"] == 2)[run] > 0 if len(x) else np.zeros(0, bool)  # other wide names were read with some of the name
+    # one tuple of each wide name is induced, of those that were read with other wide names each is already
+    state = np.where(alike > 1, RESOLVED, 0) | np.where(((many > alike) | settled) & ~same_wide & (x["many"] < 2), INDUCE, 0)
+    # where the first of a wide name is induced already, it speaks for the others
+    return _marks(x, state)
+
+
 def common_samples(docs: DataFrame, length: int, reach: int) -> DataFrame:
     """(id, tag, data): samples whose name isn't alone, as places and what is to do with each."""
     parts = partitions(docs)
@@ -204,48 +274,88 @@ def common_samples(docs: DataFrame, length: int, reach: int) -> DataFrame:
     fields = ["name", "wide", "at"]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            marks, t = settle_samples(np.concatenate(held))
+            held.clear()
+            if len(marks):
+                yield _flagged(_of_documents(marks, parts, keys), True)
+            yield _flagged(_deal((t["name"] % np.uint64(parts)).astype(np.int64), keys, _brief(t), t["id"], t["tag"], fields), False)
+
         for batch in batches:
             ids, tags = (batch.column(i).to_numpy() for i in (0, 1))
-            for c in chunks(batch.column(2)):
-                d, at, lo, hi, prefix = samples(c, length, reach)
-                if not len(d):
-                    continue
-                name = span_hash(prefix, at, at + length - reach)
-                wide = span_hash(prefix, lo, hi + length) ^ ((at - lo) * 1000003 + (hi - lo)).astype(np.uint64)
-                t = np.empty(len(d), SAMPLE)
-                t["name"], t["wide"], t["at"] = name >> np.uint64(32), wide, at - c.off[d]
-                yield _deal(((name & np.uint64(0x7FFFFFFF)) % np.uint64(parts)).astype(np.int64), keys, t, ids[c.first + d], tags[c.first + d], fields)
+            for whole in chunks(batch.column(2)):
+                for c, base in text_parts(whole, length, reach):
+                    d, at, lo, hi, prefix = samples(c, length, reach)
+                    if not len(d):
+                        continue
+                    t = np.empty(len(d), SAMPLE)
+                    t["name"] = span_hash(prefix, at, at + length - reach)
+                    t["wide"] = span_hash(prefix, lo, hi + length) ^ ((at - lo) * 1000003 + (hi - lo)).astype(np.uint64)
+                    t["id"], t["tag"], t["at"], t["many"] = ids[c.first + d], tags[c.first + d], at - c.off[d] + base, 0
+                    held.append(t)
+                    if sum(map(len, held)) > TOGETHER:
+                        yield from settled()
+        if held:
+            yield from settled()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queue = TupleQueue(SAMPLE)
         for batch in batches:
-            for data in batch.column(1).to_pylist():
-                queue.push(_dealt(data, SAMPLE, fields))
-        found, held = [], 0
-        for x in queue.groups():
-            x = x[np.lexsort((x["id"], x["at"], x["tag"], x["wide"], x["name"]))]
-            x = x[~_same(x, "name", "wide", "tag", "at")]  # equal texts: the least document
-            same_name, same_wide = _same(x, "name"), _same(x, "name", "wide")
-            many, alike = _counts(same_name), _counts(same_wide)
-            # a group all of one wide name needs no induction; else one tuple of each wide name takes part
-            state = np.where(alike > 1, RESOLVED, 0) | np.where((many > alike) & ~same_wide, INDUCE, 0)
-            keep = (many > 1) & (state > 0)
-            y = np.empty(int(keep.sum()), MARK)
-            for f in ("id", "tag", "at"):
-                y[f] = x[f][keep]
-            y["state"] = state[keep]
-            found.append(y)
-            held += len(y)
-            if held > HELD:
-                y = np.concatenate(found)
-                yield packed_by(document_parts(y, parts), keys, y)
-                found, held = [], 0
-        if held:
-            y = np.concatenate(found)
-            yield packed_by(document_parts(y, parts), keys, y)
+            known = batch.column(2)
+            for data, done in zip(batch.column(1), known.to_pylist()):
+                if not done:
+                    queue.push(_in_full(_dealt(data.as_py(), BRIEF, fields)))
+            x = batch.filter(known)
+            if x.num_rows:
+                yield x.select(["part", "data"])
+        yield from _in_turn(map(meet_samples, queue.groups()), parts, keys)
 
-    met = docs.select("id", "tag", "text").mapInArrow(take, PACKED).repartition(parts, "part").mapInArrow(meet, PACKED)
-    return by_document(met, MARK, parts)
+    met = docs.select("id", "tag", "text").mapInArrow(take, f"{PACKED}, known boolean").repartition(parts, "part").mapInArrow(meet, PACKED)
+    return by_document(met, MARK, parts, lambda d: _dealt(d, MARK, ["at", "state"]))
+
+
+def _brief(t: np.ndarray) -> np.ndarray:
+    x = np.empty(len(t), BRIEF)
+    for f in ("wide", "id", "tag"):
+        x[f] = t[f]
+    x["name"], x["at"] = t["name"] >> np.uint64(32), t["at"] | t["many"].astype(np.uint32) << np.uint32(30)
+    return x
+
+
+def _in_full(x: np.ndarray) -> np.ndarray:
+    t = np.empty(len(x), SAMPLE)
+    for f in ("name", "wide", "id", "tag"):
+        t[f] = x[f]
+    t["at"], t["many"] = x["at"] & np.uint32((1 << 30) - 1), x["at"] >> np.uint32(30)
+    return t
+
+
+def _of_documents(x: np.ndarray, parts: int, keys: np.ndarray) -> pa.RecordBatch:
+    """Marks or starts, packed by the part of their document."""
+    order = np.lexsort([x[f] for f in reversed(x.dtype.names)])
+    x = x[order]
+    return _deal(document_parts(x, parts), keys, x, x["id"], x["tag"], list(x.dtype.names[2:]))
+
+
+def _flagged(packed: pa.RecordBatch, known: bool) -> pa.RecordBatch:
+    """``known``: on to the next step as it is."""
+    return pa.RecordBatch.from_arrays([*packed.columns, pa.array([known] * packed.num_rows, pa.bool_())], names=["part", "data", "known"])
+
+
+def _in_turn(made: Iterator[np.ndarray], parts: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What groups give, packed by document, HELD at a time."""
+    found, held = [], 0
+    for y in made:
+        found.append(y)
+        held += len(y)
+        if held > HELD:
+            y = np.concatenate(found)
+            yield _of_documents(y, parts, keys)
+            found, held = [], 0
+    if held:
+        yield _of_documents(np.concatenate(found), parts, keys)
 
 
 def _starts(i: int, tag: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -263,35 +373,61 @@ def induce(docs: DataFrame, common: DataFrame, length: int, reach: int) -> DataF
     fields = ["name", "at"]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        part_of: list[np.ndarray] = []
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            t, part = np.concatenate(held), np.concatenate(part_of)
+            held.clear()
+            part_of.clear()
+            order = np.argsort(t["name"], kind="stable")
+            t, part = t[order], part[order]
+            same = _same(t, "name")
+            common = _counts(same) > 1  # settled here; one of them goes on
+            if common.any():
+                x = _runs_of_starts(t[common])
+                yield _flagged(_of_documents(x, parts, keys), True)
+            t, part = t[~same], part[~same]
+            yield _flagged(_deal(part, keys, t, t["id"], t["tag"], fields), False)
+
         for batch in batches:
             ids, tags, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
-            for c in chunks(batch.column(2)):
-                d, at, lo, hi, prefix = samples(c, length, reach)
-                first = np.searchsorted(d, np.arange(c.n + 1))
-                done, new, new_d = [], [], []
-                for i in range(c.n):
-                    m = np.frombuffer(marks[c.first + i], MARK)
-                    which = np.searchsorted(at[first[i] : first[i + 1]], m["at"].astype(np.int64) + c.off[i]) + first[i]
-                    r = which[(m["state"] & RESOLVED) > 0]
-                    if len(r):
-                        done.append(_starts(int(ids[c.first + i]), int(tags[c.first + i]), lo[r] - c.off[i], hi[r] - c.off[i]))
-                    q = which[(m["state"] & INDUCE) > 0]
-                    new.append(q)
-                    new_d.append(np.full(len(q), i))
-                if done:  # known already: on to the next step as it is
-                    x = np.concatenate(done)
-                    out = packed_by(document_parts(x, parts), keys, x)
-                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array([True] * out.num_rows)], names=["part", "data", "known"])
-                q = np.concatenate(new) if new else np.empty(0, np.int64)
-                if len(q):
-                    many = hi[q] - lo[q] + 1
-                    start, sample, owner = spread(lo[q], many), np.repeat(q, many), np.repeat(np.concatenate(new_d), many)
-                    t = np.empty(len(start), INDUCED)
-                    t["name"], t["at"] = span_hash(prefix, start, start + length), start - c.off[owner]
-                    # equal strings have equal samples at equal places: those of one sample go together
-                    name = span_hash(prefix, at[sample], at[sample] + length - reach) + ((at[sample] - start) // 32).astype(np.uint64)
-                    out = _deal(((name >> np.uint64(8)) % np.uint64(parts)).astype(np.int64), keys, t, ids[c.first + owner], tags[c.first + owner], fields)
-                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array([False] * out.num_rows)], names=["part", "data", "known"])
+            for whole in chunks(batch.column(2)):
+                for c, base in text_parts(whole, length, reach):
+                    d, at, lo, hi, prefix = samples(c, length, reach)
+                    first = np.searchsorted(d, np.arange(c.n + 1))
+                    done, new, new_d = [], [], []
+                    for i in range(c.n):
+                        m = np.frombuffer(marks[c.first + i], MARK)
+                        own, place = at[first[i] : first[i + 1]], m["at"].astype(np.int64) - base + c.off[i]
+                        which = np.searchsorted(own, place)
+                        here = np.zeros(len(m), bool)
+                        here[which < len(own)] = own[which[which < len(own)]] == place[which < len(own)]  # a part has its own samples only
+                        m, which = m[here], which[here] + first[i]
+                        r = np.unique(which[(m["state"] & RESOLVED) > 0])
+                        if len(r):
+                            done.append(_starts(int(ids[c.first + i]), int(tags[c.first + i]), lo[r] - c.off[i] + base, hi[r] - c.off[i] + base))
+                        q = np.unique(which[(m["state"] & INDUCE) > 0])
+                        new.append(q)
+                        new_d.append(np.full(len(q), i))
+                    if done:
+                        x = np.concatenate(done)
+                        yield _flagged(_of_documents(x, parts, keys), True)
+                    q = np.concatenate(new) if new else np.empty(0, np.int64)
+                    if len(q):
+                        many = hi[q] - lo[q] + 1
+                        start, sample, owner = spread(lo[q], many), np.repeat(q, many), np.repeat(np.concatenate(new_d), many)
+                        t = np.empty(len(start), INDUCED)
+                        t["name"], t["at"] = span_hash(prefix, start, start + length), start - c.off[owner] + base
+                        t["id"], t["tag"] = ids[c.first + owner], tags[c.first + owner]
+                        # equal strings have equal samples at equal places: those of one sample go together
+                        name = span_hash(prefix, at[sample], at[sample] + length - reach) + ((at[sample] - start) // 32).astype(np.uint64)
+                        held.append(t)
+                        part_of.append(((name >> np.uint64(8)) % np.uint64(parts)).astype(np.int64))
+                        if sum(map(len, held)) > TOGETHER:
+                            yield from settled()
+        if held:
+            yield from settled()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queue = TupleQueue(INDUCED)
@@ -303,21 +439,10 @@ def induce(docs: DataFrame, common: DataFrame, length: int, reach: int) -> DataF
             x = batch.filter(known)
             if x.num_rows:
                 yield x.select(["part", "data"])
-        found, held = [], 0
-        for x in queue.groups():
-            x = x[_counts(_same(x, "name")) > 1]
-            found.append(_runs_of_starts(x))
-            held += len(found[-1])
-            if held > HELD:
-                y = np.concatenate(found)
-                yield packed_by(document_parts(y, parts), keys, y)
-                found, held = [], 0
-        if held:
-            y = np.concatenate(found)
-            yield packed_by(document_parts(y, parts), keys, y)
+        yield from _in_turn((_runs_of_starts(x[_counts(_same(x, "name")) > 1]) for x in queue.groups()), parts, keys)
 
     met = joined.mapInArrow(take, f"{PACKED}, known boolean").repartition(parts, "part").mapInArrow(meet, PACKED)
-    return by_document(met, STARTS, parts)
+    return by_document(met, STARTS, parts, lambda d: _dealt(d, STARTS, ["lo", "hi"]))
 
 
 def _runs_of_starts(x: np.ndarray) -> np.ndarray:
@@ -336,12 +461,11 @@ def _runs_of_starts(x: np.ndarray) -> np.ndarray:
 def runs(size: int, starts: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of the maximal runs of bytes covered by strings at the starts."""
     x = np.frombuffer(starts, STARTS)
-    lo, hi = x["lo"].astype(np.int64), x["hi"].astype(np.int64)
-    step = np.zeros(size + 1, np.int64)
-    np.add.at(step, lo, 1)
-    np.add.at(step, np.minimum(hi + length, size), -1)
-    edge = np.diff(np.concatenate([[0], (np.cumsum(step[:-1]) > 0).astype(np.int8), [0]]))
-    return np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+    order = np.argsort(x["lo"], kind="stable")
+    lo, end = x["lo"][order].astype(np.int64), np.minimum(x["hi"][order].astype(np.int64) + length, size)
+    reached = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.append(True, lo[1:] > reached[:-1]))
+    return lo[first], reached[np.append(first[1:], len(lo)) - 1]
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, kept_text: bool = False) -> DataFrame:

@@ -314,3 +314,115 @@ def test_links_across_pieces_are_few(spark):
     found = setjoin.join_pieces(members.where("node <> 1").unionByName(centre)).cache()
     within, across = found.where("a is not null").count(), setjoin.join_across(found.where("pivot is not null").drop("a", "b")).count()
     assert within < len(rows) and across < 4 * len(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeats_of_hot_strings(spark, seed):
+    """Boilerplate of just over the length in most texts, in the same and in other surroundings, over many tasks."""
+    rng = random.Random(seed)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    hot, lines = some(45), [some(60) for _ in range(4)]
+    texts = []
+    for i in range(240):
+        t = some(rng.randint(0, 90)) + (hot if i % 3 else "") + some(rng.randint(0, 90))
+        if i % 5 == 0:
+            t += rng.choice(lines) + hot + rng.choice(lines)
+        texts.append(t if i % 17 else texts[rng.randrange(i)] if i else t)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(9)
+    got = [tuple(r)[1:] for r in sorted(suffixes.remove_repeats(df, length=40).collect())]
+    assert got == removed(texts, 40)
+
+
+def test_long_texts_have_the_same_samples(monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(suffixes, "PART", 3000)
+    for buf in (rng.integers(97, 110, 20_000), np.tile(rng.integers(97, 110, 170), 100), np.full(15_000, 97), rng.integers(97, 110, 3_810)):
+        c = suffixes.Chunk(0, buf.astype(np.uint8), np.array([0, len(buf)]))
+        _, at, lo, hi, _ = suffixes.samples(c, 200, 100)
+        got = []
+        for part, base in suffixes.text_parts(c, 200, 100):
+            assert len(part.buf) < 3000 + 1000
+            _, a, b, e, _ = suffixes.samples(part, 200, 100)
+            got += list(zip((a + base).tolist(), (b + base).tolist(), (e + base).tolist()))
+        assert got == list(zip(at.tolist(), lo.tolist(), hi.tolist()))
+
+
+def test_words_of_long_texts_are_hashed_alike(monkeypatch):
+    from lectern.llm import kernels
+
+    rng = random.Random(2)
+    text = " ".join("w" * rng.randint(1, 30) for _ in range(5000)) + " " + "x" * 4000
+    buf = np.frombuffer(text.encode(), np.uint8)
+    c = kernels.Chunk(0, buf, np.array([0, 9000, len(buf)]))
+    whole = kernels.word_hashes(c)
+    monkeypatch.setattr(kernels, "PART", 1000)
+    again = kernels.word_hashes(c)
+    assert all((a == b).all() for a, b in zip(whole, again))
+
+
+def passage_recall(spark, texts, wanted):
+    """The share of wanted (document, words) of which most words are in a passage."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = defaultdict(set)
+    for r in passages.passages(df).collect():
+        got[r.doc_id] |= set(range(r.first_word, r.last_word + 1))
+    return np.mean([len(w & got[k]) >= 0.75 * len(w) for k, w in wanted])
+
+
+def embedded(rng, some, variants):
+    """Texts that each hold one of the variants between words of their own, and where it begins."""
+    texts, begins = [], []
+    for v in variants:
+        before = some(rng.randint(10, 60))
+        texts.append(" ".join(before + v + some(rng.randint(10, 60))))
+        begins.append(len(before))
+    return texts, begins
+
+
+def alike_words(v, earlier, least=46):
+    """Words of v in windows of 50 that are 0.75 alike to the same words of an earlier variant (edits replace words)."""
+    held = set()
+    for u in earlier:
+        same = np.array([v[i : i + 5] == u[i : i + 5] for i in range(len(v) - 4)], int)
+        common = np.convolve(same, np.ones(least, int), "valid")
+        for o in np.flatnonzero(100 * common >= 75 * (2 * least - common)):
+            held |= set(range(o, o + 50))
+    return held
+
+
+@pytest.mark.parametrize("size,edits,vocabulary", [(60, 1, 5000), (60, 2, 5000), (120, 4, 5000), (300, 15, 5000), (80, 2, 40)])
+def test_recall_in_groups(spark, size, edits, vocabulary):
+    """Groups of variants of one boilerplate, each with words of its own; a vocabulary of 40 words repeats itself.
+    What a variant should have found is what brute force finds alike in the group's earlier ones."""
+    rng = random.Random(size + edits)
+    words = [f"w{i}" for i in range(vocabulary)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    variants, due = [], []
+    for _ in range(20):
+        base, group = some(size), []
+        for j in range(15):
+            v = base[:]
+            for at in rng.sample(range(size), edits if j else 0):
+                v[at] = f"x{rng.randrange(10**6)}"
+            due.append(alike_words(v, group))
+            group.append(v)
+        variants += group
+    texts, begins = embedded(rng, some, variants)
+    wanted = [(k, {a + i for i in d}) for k, (a, d) in enumerate(zip(begins, due)) if d]
+    recall = passage_recall(spark, texts, wanted)
+    print("recall", size, edits, vocabulary, len(wanted), recall)
+    assert len(wanted) > 100 and recall >= 0.9
+
+
+def test_recall_with_a_frequent_phrase(spark):
+    """Every document has one phrase every twenty words; pairs share a verbatim or an edited passage."""
+    rng = random.Random(12)
+    some = lambda n: [w for i in range(n) for w in ("all of this is here again".split() if i % 20 == 7 else []) + [f"w{rng.randrange(10**5)}"]]
+    variants = []
+    for _ in range(100):
+        v = some(60)
+        u = v[:]
+        u[rng.randrange(len(u))] = "changed"
+        variants += [v, u]
+    texts, begins = embedded(rng, some, variants)
+    assert passage_recall(spark, texts, [(k, set(range(begins[k], begins[k] + len(variants[k])))) for k in range(1, len(texts), 2)]) >= 0.9
