@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from lectern.operators import alignment as L
+from lectern.operators.evidence import similar_tokens
 from lectern.operators import robust, runtime, sequences, store
 
 
@@ -35,9 +36,10 @@ def test_rogue_seed_is_dropped_and_positions_follow():
     assert not sure and where.tolist() == [0.0, 4.0]
 
 
-def test_alike():
-    assert L.alike("ahnedaardbei", "ahnedaarbei") and L.alike("kaart", "kaarthouder")
-    assert not L.alike("pas", "past") and not L.alike("abcdef", "uvwxyz")
+def test_alike(spark):
+    pairs = [("ahnedaardbei", "ahnedaarbei", True), ("kaart", "kaarthouder", True), ("pas", "past", False), ("abcdef", "uvwxyz", False)]
+    got = similar_tokens(spark.createDataFrame(pairs, "a string, b string, want boolean").select("a", "b"), L.FUZZY_LENGTH, L.FUZZY_RATIO).collect()
+    assert {(r.a, r.b, r.similar) for r in got} == set(pairs)
 
 
 def page(lines, cells):
