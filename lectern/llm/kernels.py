@@ -54,8 +54,30 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """What hands freed memory back to the system, where the C library can."""
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def release() -> None:
+    """Memory that a batch has freed goes back, as other workers of the executor need it."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     buf, off = column_bytes(col)
+    if len(buf) > limit:
+        yield from _cut(buf, off, limit)
+        release()
+    else:
+        yield from _cut(buf, off, limit)
+
+
+def _cut(buf: np.ndarray, off: np.ndarray, limit: int) -> Iterator[Chunk]:
     n, at = len(off) - 1, 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1)

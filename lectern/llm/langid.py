@@ -30,10 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernels import release
+
 TOP = 300
 UNKNOWN = "und"
 #: letters that are counted together
-PART = 1 << 19
+PART = 1 << 17
 #: different n-grams that a task holds before it sends their counts on
 HELD = 1 << 20
 #: bits of a code point: letters and marks are below U+E01F0
@@ -171,6 +173,8 @@ def slices(col: pa.Array) -> Iterator[list[str | None]]:
         to = max(at + 1, int(np.searchsorted(total, total[at] - size[at] + PART)))
         yield col.slice(at, to - at).to_pylist()
         at = to
+    if len(col) and total[-1] > PART:
+        release()
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP) -> Profiles:
