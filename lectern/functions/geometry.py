@@ -15,6 +15,9 @@ FLAG_MIN_SCORE = 0.5
 MATCH_MIN_IOU = 0.1
 DUPLICATE_IOU = 0.85
 COVERED_FRACTION = 0.8
+#: gaps, in heights, of boxes of one element that are stacked or on one line; overlap of boxes of one place
+STACK_GAP, LINE_GAP = 1.5, 2.0
+SAME_PLACE = 0.3
 
 
 def family(label: Column) -> Column:
@@ -55,3 +58,11 @@ def centre_x(left: Column, width: Column) -> Column:
 
 def inside(x: Column, y: Column, b: Column) -> Column:
     return (x >= b["x0"]) & (x <= b["x1"]) & (y >= b["y0"]) & (y <= b["y1"])
+
+
+def near(a: Column, b: Column) -> Column:
+    """Boxes near enough to be one element: one above the other, or side by side on a line."""
+    height = F.greatest(a["y1"] - a["y0"], b["y1"] - b["y0"], F.lit(1.0))
+    across = F.greatest(a["x0"], b["x0"]) - F.least(a["x1"], b["x1"])
+    down = F.greatest(a["y0"], b["y0"]) - F.least(a["y1"], b["y1"])
+    return ((across < 0) & (down <= STACK_GAP * height)) | ((down < 0) & (across <= LINE_GAP * height))

@@ -138,20 +138,26 @@ def bare(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)))
 
 
-def _token_list(t: Column) -> Column:
-    return F.concat(all_of(t, "[a-z0-9]+"), all_of(t, "[぀-ヿ㐀-䶿一-鿿豈-﫿가-힣]"))
+def token_list(spelt: Column) -> Column:
+    """Tokens of text that is spelt already: runs of a-z and digits, and single CJK characters."""
+    return F.concat(all_of(spelt, "[a-z0-9]+"), all_of(spelt, "[぀-ヿ㐀-䶿一-鿿豈-﫿가-힣]"))
 
 
-def match_tokens(text: Column) -> Column:
-    """Runs of a-z and digits, and single CJK characters, ligatures spelt out; ASCII stays in the JVM."""
+def spelt(text: Column) -> Column:
+    """Lower case without marks, ligatures spelt out; ASCII stays in the JVM."""
     t = F.when(text.rlike(r"^[\x00-\x7F]*$"), F.lower(text)).otherwise(bare(text))
     for a, b in (("æ", "ae"), ("œ", "oe"), ("ø", "o"), ("ß", "ss"), ("þ", "th"), ("ð", "d")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    return _token_list(t)
+    return t
+
+
+def match_tokens(text: Column) -> Column:
+    """Runs of a-z and digits, and single CJK characters, ligatures spelt out; ASCII stays in the JVM."""
+    return token_list(spelt(text))
 
 
 def fuzzy_tokens(text: Column) -> Column:
-    return _token_list(F.when(text.rlike(r"^[\x00-\x7F]*$"), F.lower(text)).otherwise(bare(text)))
+    return token_list(F.when(text.rlike(r"^[\x00-\x7F]*$"), F.lower(text)).otherwise(bare(text)))
 
 
 def field_key(text: Column) -> Column:

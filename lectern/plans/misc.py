@@ -72,11 +72,11 @@ def f37(spark, sf):
     return _next(spark, sf).select("doc", "cell_id", F.round(o / F.least("w", "w2"), 6).alias("share"))
 
 
-@query("F35_adjacency", f"WITH {PAIRED} SELECT doc, cell_id, (abs(y2 - y) <= h AND x2 - (x + w) <= h) OR (abs(x2 - x) <= w AND y2 - (y + h) <= h) AS near FROM p", ("cells",))
+@query("F35_adjacency", f"""WITH {PAIRED}, g AS (SELECT doc, cell_id, greatest(h, h2, 1.0) AS tall, greatest(x, x2) - least(x + w, x2 + w2) AS across, greatest(y, y2) - least(y + h, y2 + h2) AS down FROM p)
+SELECT doc, cell_id, (across < 0 AND down <= 1.5 * tall) OR (down < 0 AND across <= 2.0 * tall) AS near FROM g""", ("cells",))
 def f35(spark, sf):
-    c = F.col
-    near = ((F.abs(c("y2") - c("y")) <= c("h")) & (c("x2") - (c("x") + c("w")) <= c("h"))) | ((F.abs(c("x2") - c("x")) <= c("w")) & (c("y2") - (c("y") + c("h")) <= c("h")))
-    return _next(spark, sf).select("doc", "cell_id", near.alias("near"))
+    corners = lambda s: F.struct(F.col("x" + s).alias("x0"), F.col("y" + s).alias("y0"), (F.col("x" + s) + F.col("w" + s)).alias("x1"), (F.col("y" + s) + F.col("h" + s)).alias("y1"))
+    return _next(spark, sf).select("doc", "cell_id", corners("").alias("a"), corners("2").alias("b")).select("doc", "cell_id", G.near(F.col("a"), F.col("b")).alias("near"))
 
 
 @query("F39_box_numbers", "SELECT doc, cell_id, CASE WHEN x = floor(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE CAST(x AS VARCHAR) END AS x FROM cells", ("cells",))
