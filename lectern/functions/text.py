@@ -138,6 +138,12 @@ def bare(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)))
 
 
+def bare_text(text: Column) -> Column:
+    """As ``bare``; ASCII stays in the JVM, and only other text is sent to Python."""
+    plain = text.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, F.lower(text)).otherwise(bare(F.when(~plain, text)))
+
+
 def token_list(spelt: Column) -> Column:
     """Tokens of text that is spelt already: runs of a-z and digits, and single CJK characters."""
     return F.concat(all_of(spelt, "[a-z0-9]+"), all_of(spelt, "[぀-ヿ㐀-䶿一-鿿豈-﫿가-힣]"))
@@ -145,7 +151,7 @@ def token_list(spelt: Column) -> Column:
 
 def spelt(text: Column) -> Column:
     """Lower case without marks, ligatures spelt out; ASCII stays in the JVM."""
-    t = F.when(text.rlike(r"^[\x00-\x7F]*$"), F.lower(text)).otherwise(bare(text))
+    t = bare_text(text)
     for a, b in (("æ", "ae"), ("œ", "oe"), ("ø", "o"), ("ß", "ss"), ("þ", "th"), ("ð", "d")):
         t = F.replace(t, F.lit(a), F.lit(b))
     return t
@@ -157,11 +163,11 @@ def match_tokens(text: Column) -> Column:
 
 
 def fuzzy_tokens(text: Column) -> Column:
-    return token_list(F.when(text.rlike(r"^[\x00-\x7F]*$"), F.lower(text)).otherwise(bare(text)))
+    return token_list(bare_text(text))
 
 
 def field_key(text: Column) -> Column:
-    return F.regexp_replace(F.when(text.rlike(r"^[\x00-\x7F]*$"), F.lower(text)).otherwise(bare(text)), r"[^\p{L}\p{N}]", "")
+    return F.regexp_replace(bare_text(text), r"[^\p{L}\p{N}]", "")
 
 
 def alnum_form(text: Column) -> Column:

@@ -41,7 +41,7 @@ def _garbled(spark, sf):
 
 @query("F01_bare_text", f"SELECT doc, line_idx, {BARE} AS bare FROM hint_lines", ("hint_lines",))
 def f01(spark, sf):
-    return A.hint_lines(spark, sf).select("doc", "line_idx", T.bare("text").alias("bare"))
+    return A.hint_lines(spark, sf).select("doc", "line_idx", T.bare_text(F.col("text")).alias("bare"))
 
 
 @query("F02_match_tokens", f"SELECT doc, line_idx, array_to_string(list_concat(regexp_extract_all({_spelt(BARE)}, '[a-z0-9]+'), regexp_extract_all({_spelt(BARE)}, '{CJK}')), '|') AS tokens FROM hint_lines", ("hint_lines",))

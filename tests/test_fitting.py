@@ -193,3 +193,13 @@ def test_oldest_records(spark):
         got = sorted((r.place, r.request_id) for r in X.oldest(df, many).collect())
         assert got == [(k, i) for k, (_, i) in enumerate(order[:many], 1)]
     assert {r.request_id for r in X.overflow(df, 450).collect()} == {i for _, i in order[:50]}
+
+
+def test_bare_text_equals_normalisation(spark):
+    rng = random.Random(5)
+    latin, other = [chr(c) for c in range(0x20, 0x250)], list("\u0301\u0307ﬁ…’–日本가Ω½ﾊ\u1e9e\u0130Ǆ")
+    texts = [c + "x" for c in latin + other] + ["".join(rng.choice(latin if i % 3 else latin + other) for _ in range(12)) for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    want = ["".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)) for t in texts]
+    got = {r.i: r.b for r in df.select("i", T.bare_text(F.col("t")).alias("b")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
