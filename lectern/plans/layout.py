@@ -106,10 +106,10 @@ c AS (SELECT *, sum(CAST(coalesce(l - reach >= 25, false) AS INT)) OVER (PARTITI
 b AS (SELECT doc, page, band, min(l) AS band_left, max(r) AS margin FROM c GROUP BY ALL)
 SELECT q.doc, q.page, q.cell_id, CAST((SELECT min(margin) FROM b WHERE b.doc = q.doc AND b.page = q.page AND q.x BETWEEN band_left AND margin) AS BIGINT) AS margin FROM cells q""", ("cells",))
 def j22(spark, sf):
-    bands = w12(spark, sf)
-    q = A.cells(spark, sf).select("doc", "page", "cell_id", "x")
-    j = q.join(bands, ["doc", "page"], "left")
-    return j.groupBy("doc", "page", "cell_id").agg(F.min(F.when(F.col("x").between(F.col("band_left"), F.col("margin")), F.col("margin"))).alias("margin"))
+    bands = w12(spark, sf).groupBy("doc", "page").agg(F.collect_list(F.struct("band_left", "margin")).alias("bands"))
+    j = A.cells(spark, sf).select("doc", "page", "cell_id", "x").join(bands, ["doc", "page"], "left")
+    around = F.filter("bands", lambda b: F.col("x").between(b["band_left"], b["margin"]))
+    return j.select("doc", "page", "cell_id", F.array_min(F.transform(around, lambda b: b["margin"])).alias("margin"))
 
 
 @query("W15_unit_numbers", "SELECT doc, page, cell_id, row_number() OVER (PARTITION BY doc ORDER BY page, cell_id) AS unit_id FROM cells", ("cells",))

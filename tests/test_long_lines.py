@@ -17,7 +17,7 @@ def long_lines(tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["G19_document_verdicts"])
+@pytest.mark.parametrize("name", ["G19_document_verdicts", "J22_band_margin"])
 def test_cells_of_the_same_id(spark, long_lines, name):
     duck = duckdb.connect()
     duck.sql(f"create view documents as select * from '{long_lines}/documents.parquet'")
