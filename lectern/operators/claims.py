@@ -1,23 +1,24 @@
 """Claims of cell groups on reading-order lines: which of several groups has the line, extends it, prints it
 again, or is none of it; fragments of icons and lone symbols.
 
-Only lines with several claims reach Python, as one row each; the tokens that a claim covers, the exact ones and
-the garbled ones, are found with joins.
+A page is one row, with its units, cells and lines; the tokens that a claim covers, the exact ones and the garbled
+ones, are found there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import geometry as G
 from lectern.functions import text as T
 
-from .alignment import FUZZY_LENGTH, FUZZY_RATIO, PAGE
-from .evidence import similar_tokens
+from .alignment import PAGE
+from .pages import Vocabulary, bits, each, gathered, match_list, spelt_form, token_runs
 
 # fixed values
 ICON_HEIGHT = 0.6
@@ -97,40 +98,52 @@ def resolve(claims: list[Claim], fields: list[set[str]]) -> dict[int, tuple[str,
     return out
 
 
-def line_claims(units: DataFrame, cells: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc, page, line_idx, fields, claims (first_cell, covers, exact, box) of the lines that several groups claim."""
-    u = units.where("line_idx is not null").select(*PAGE, "line_idx", "first_cell", F.explode("cells").alias("cell_id"))
-    several = u.groupBy(*PAGE, "line_idx").agg(F.count_distinct("first_cell").alias("n")).where("n > 1").drop("n")
-    u = u.join(several, [*PAGE, "line_idx"]).join(cells.select(*PAGE, "cell_id", "text", "x", "y", "w", "h"), [*PAGE, "cell_id"])
-    words = lines.join(several, [*PAGE, "line_idx"]).select(*PAGE, "line_idx", T.spelt(F.col("text")).alias("spelt")).select(*PAGE, "line_idx", F.transform(F.split("spelt", r"\|"), T.token_list).alias("fields"))
-    box = u.groupBy(*PAGE, "line_idx", "first_cell").agg(F.struct(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1")).alias("box"))
-    own = u.select(*PAGE, "line_idx", "first_cell", F.explode(T.match_tokens(F.col("text"))).alias("a"))
-    flat = words.select(*PAGE, "line_idx", F.explode(F.array_distinct(F.flatten("fields"))).alias("b"))
-    exact = own.join(flat.withColumn("a", F.col("b")), [*PAGE, "line_idx", "a"])
-    garbled = own.join(exact.select(*PAGE, "line_idx", "first_cell", "a").distinct(), [*PAGE, "line_idx", "first_cell", "a"], "left_anti")
-    alike = similar_tokens(garbled.join(flat, [*PAGE, "line_idx"]), FUZZY_LENGTH, FUZZY_RATIO).where("similar")
-    covers = exact.select(*PAGE, "line_idx", "first_cell", "b").unionByName(alike.select(*PAGE, "line_idx", "first_cell", "b"))
-    covers = covers.groupBy(*PAGE, "line_idx", "first_cell").agg(F.sort_array(F.collect_set("b")).alias("covers"))
-    unclean = garbled.select(*PAGE, "line_idx", "first_cell").distinct().withColumn("unclean", F.lit(True))
-    keys = [*PAGE, "line_idx", "first_cell"]
-    c = box.join(covers, keys, "left").join(unclean, keys, "left")
-    c = c.select(*keys, F.coalesce("covers", F.expr("cast(array() as array<string>)")).alias("covers"), F.col("unclean").isNull().alias("exact"), "box")
-    g = c.groupBy(*PAGE, "line_idx").agg(F.sort_array(F.collect_list(F.struct("first_cell", "covers", "exact", "box"))).alias("claims"))
-    return g.join(words, [*PAGE, "line_idx"])
+def page_claims(units: dict[str, list], cells: dict[str, list], lines: dict[str, list]) -> Iterator[tuple[int, list[Claim], list[set[str]]]]:
+    """(line, its claims, its fields) of a page's lines that several groups claim."""
+    groups: dict[int, dict[int, list[int]]] = {}
+    for line, first, held in zip(units["line_idx"], units["first_cell"], units["cells"]):
+        if line is not None:
+            groups.setdefault(line, {}).setdefault(first, []).extend(held)
+    rows: dict[int, list[int]] = {}
+    for k, i in enumerate(cells["cell_id"]):
+        rows.setdefault(i, []).append(k)
+    x, y, w, h, text = (cells[k] for k in ("x", "y", "w", "h", "text"))
+    for line, t in zip(lines["line_idx"], lines["text"]):
+        if len(groups.get(line, ())) < 2:
+            continue
+        fields = [] if t is None else [set(token_runs(f)) for f in spelt_form(t).split("|")]
+        every = set().union(*fields)
+        vocabulary, found = None, []
+        for first in sorted(groups[line]):
+            own = [k for i in groups[line][first] for k in rows.get(i, ())]
+            if not own:
+                continue
+            covers, exact = set(), True
+            for a in {a for k in own for a in match_list(text[k])}:
+                if a in every:
+                    covers.add(a)
+                    continue
+                exact, vocabulary = False, vocabulary or Vocabulary(sorted(every))
+                covers.update(vocabulary.tokens[i] for i in bits(vocabulary.alike(a)))
+            box = min(x[k] for k in own), min(y[k] for k in own), max(x[k] + w[k] for k in own), max(y[k] + h[k] for k in own)
+            found.append(Claim(first, covers, exact, box))
+        yield line, found, fields
 
 
 def resolved_claims(units: DataFrame, cells: DataFrame, lines: DataFrame) -> DataFrame:
     """doc, page, line_idx, first_cell, verdict, home of each claim on a line that several groups claim."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for r in pdf.itertuples():
-                claims = [Claim(c["first_cell"], set(c["covers"]), bool(c["exact"]), tuple(c["box"][k] for k in ("x0", "y0", "x1", "y1"))) for c in r.claims]
-                out += [(r.doc, r.page, r.line_idx, k, v, home) for k, (v, home) in resolve(claims, [set(f) for f in r.fields]).items()]
-            yield pd.DataFrame(out, columns=["doc", "page", "line_idx", "first_cell", "verdict", "home"])
+            for key, t in each(batch, PAGE):
+                for line, claims, fields in page_claims(t["units"], t["cells"], t["lines"]):
+                    out += [(*key, line, k, v, home) for k, (v, home) in resolve(claims, fields).items()]
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=[*PAGE, "line_idx", "first_cell", "verdict", "home"])
 
-    return line_claims(units, cells, lines).select(*PAGE, "line_idx", "fields", "claims").mapInPandas(run, "doc bigint, page bigint, line_idx bigint, first_cell bigint, verdict string, home bigint")
+    whole = gathered(PAGE, units=units.select(*PAGE, "line_idx", "first_cell", "cells"), cells=cells.select(*PAGE, "cell_id", "text", "x", "y", "w", "h"), lines=lines.select(*PAGE, "line_idx", "text"))
+    return whole.mapInArrow(run, "doc bigint, page bigint, line_idx bigint, first_cell bigint, verdict string, home bigint")
 
 
 def icon_fragments(units: DataFrame, cells: DataFrame, lines: DataFrame) -> DataFrame:
@@ -157,16 +170,51 @@ def icon_fragments(units: DataFrame, cells: DataFrame, lines: DataFrame) -> Data
     return found.select(*PAGE, F.explode(F.transform("gone", lambda x: x["cell_id"])).alias("cell_id"))
 
 
+def page_symbols(units: dict[str, list], cells: dict[str, list], lines: dict[str, list]) -> Iterator[tuple[int, int]]:
+    """(cell, first cell of its unit) of a page's symbols that a unit takes."""
+    alone = {f for line, f, held in zip(units["line_idx"], units["first_cell"], units["cells"]) if line is None and len(held) == 1}
+    symbols = [(k, i, s) for k, (i, s) in enumerate(zip(cells["cell_id"], cells["symbol"])) if s and s != "|" and i in alone and not match_list(s)]
+    if not symbols:
+        return
+    rows: dict[int, list[int]] = {}
+    for k, i in enumerate(cells["cell_id"]):
+        rows.setdefault(i, []).append(k)
+    number = {line: k for k, line in enumerate(dict.fromkeys(lines["line_idx"]))}
+    bound = [(k, number[line], first) for line, first, held in zip(units["line_idx"], units["first_cell"], units["cells"]) if line is not None and line in number for i in held for k in rows.get(i, ())]
+    if not bound:
+        return
+    at, of, first = (np.array(c, np.int64) for c in zip(*bound))
+    x0, y0, w, h = (np.array(cells[c], float) for c in ("x", "y", "w", "h"))
+    x1, y1 = x0 + w, y0 + h
+    bx0, by0, bx1, by1 = x0[at], y0[at], x1[at], y1[at]
+    having: dict[str, np.ndarray] = {}  # bound cells whose line has the symbol
+    least: dict[int, int] = {}
+    for k, i, s in symbols:
+        if s not in having:
+            has = np.zeros(len(number), bool)
+            for line, t in zip(lines["line_idx"], lines["text"]):
+                has[number[line]] |= t is not None and s in t
+            having[s] = np.flatnonzero(has[of])
+        c = having[s]
+        side = np.minimum(y1[k], by1[c]) - np.maximum(y0[k], by0[c]) > WORD_OVERLAP * np.minimum(y1[k] - y0[k], by1[c] - by0[c])
+        gap = np.maximum(bx0[c] - x1[k], x0[k] - bx1[c]) <= WORD_GAP * (y1[k] - y0[k])
+        near = c[side & gap]
+        if len(near):
+            least[i] = min(least.get(i, 1 << 63), int(first[near].min()))
+    yield from least.items()
+
+
 def absorbed_symbols(units: DataFrame, cells: DataFrame, lines: DataFrame) -> DataFrame:
     """doc, page, cell_id, first_cell: lone symbols, and the first unit whose line has the symbol and one of whose
     cells is a word gap away on the same line."""
-    placed = cells.select(*PAGE, "cell_id", T.stripped(F.col("text")).alias("text"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
-    alone = units.where(F.col("line_idx").isNull() & (F.size("cells") == 1)).select(*PAGE, F.col("first_cell").alias("cell_id"))
-    s = placed.join(alone, [*PAGE, "cell_id"]).where((F.col("text") != "") & (F.col("text") != "|") & (F.size(T.match_tokens(F.col("text"))) == 0))
-    s = s.select(*PAGE, "cell_id", F.col("text").alias("symbol"), F.struct("x0", "y0", "x1", "y1").alias("a"))
-    u = units.where("line_idx is not null").select(*PAGE, "line_idx", "first_cell", F.explode("cells").alias("other"))
-    u = u.join(placed.select(*PAGE, F.col("cell_id").alias("other"), F.struct("x0", "y0", "x1", "y1").alias("b")), [*PAGE, "other"]).join(lines.select(*PAGE, "line_idx", F.col("text").alias("line")), [*PAGE, "line_idx"])
-    tall = lambda c: F.col(f"{c}.y1") - F.col(f"{c}.y0")
-    side = F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0") > WORD_OVERLAP * F.least(tall("a"), tall("b"))
-    gap = F.greatest(F.col("b.x0") - F.col("a.x1"), F.col("a.x0") - F.col("b.x1")) <= WORD_GAP * tall("a")
-    return s.join(u, PAGE).where(F.col("line").contains(F.col("symbol")) & side & gap).groupBy(*PAGE, "cell_id").agg(F.min("first_cell").alias("first_cell"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(*key, *found) for key, t in each(batch, PAGE) for found in page_symbols(t["units"], t["cells"], t["lines"])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=[*PAGE, "cell_id", "first_cell"])
+
+    # what has a letter or digit of ASCII has a token, so its text stays where it is
+    symbol = F.when(~F.col("text").rlike("[A-Za-z0-9]"), T.stripped(F.col("text")))
+    placed = cells.select(*PAGE, "cell_id", symbol.alias("symbol"), "x", "y", "w", "h")
+    whole = gathered(PAGE, units=units.select(*PAGE, "line_idx", "first_cell", "cells"), cells=placed, lines=lines.select(*PAGE, "line_idx", "text"))
+    return whole.mapInArrow(run, "doc bigint, page bigint, cell_id bigint, first_cell bigint")
