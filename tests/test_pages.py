@@ -86,3 +86,9 @@ def test_chain_is_the_loop_of_before():
 @pytest.mark.parametrize("name, most", [("G07_bound_cells", 2), ("G05_align_units", 3), ("W08_sticky_labels", 2), ("J09_fuzzy_bind", 2), ("G10_symbol_leftovers", 6)])
 def test_pages_are_dealt_out_once(spark, name, most):
     assert exchanges(spark, name) <= most
+
+
+@needs_data
+def test_units_bind_once(spark):
+    plan = QUERIES["G05_align_units"](spark, SF)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("MapInArrow") == 1 and "InPandas" not in plan
