@@ -35,43 +35,107 @@ def break_pieces(text: Column) -> Column:
     piece = rf"(?U)\s*(?:(?:{held}\s*)?(?:{core})(?:\s*[{CLOSING}])*|{held}\s*$|^\s*[{CLOSING}](?:\s*[{CLOSING}])*)"
     lead = lambda m: F.regexp_extract(m, r"(?U)^\s*", 0)
     glue = lambda m: F.when(lead(m).contains(EM_SPACE), EM_SPACE).when(lead(m) != "", " ").otherwise("")
-    return F.transform(T.all_of(text, piece), lambda m: F.struct(F.regexp_replace(m, r"(?U)\s+", "").alias("piece"), glue(m).alias("glue")))
+    parts = F.transform(T.all_of(text, piece), lambda m: F.struct(F.regexp_replace(m, r"(?U)\s+", "").alias("piece"), glue(m).alias("glue")))
+    # without such scripts, and with no white space but spaces, pieces are words
+    front = F.when(text.startswith(" "), " ").otherwise("")
+    words = F.transform(F.filter(F.split(text, " "), lambda w: w != ""), lambda w, i: F.struct(w.alias("piece"), F.when(i == 0, front).otherwise(" ").alias("glue")))
+    return F.when(text.rlike(rf"(?U)[{WIDE_SCRIPT}]|[\s&&[^ ]]"), parts).otherwise(words)
 
 
 def wrapped(pieces: Column, width: Column, most: Column | None = None) -> Column:
     """Lines of pieces, each as long as ``width`` allows (a piece that is wider has a line of its own); the
     last of ``most`` lines takes the rest."""
 
+    def lines(pieces: Column) -> Column:
+        starts = F.aggregate(_sizes(pieces), _start(True), _add(width, most, True), lambda s: s["starts"])
+
+        def cut(starts: Column) -> Column:
+            upto = lambda k: F.coalesce(F.get(starts, k + 1), F.size(pieces))
+            of = lambda first, end: F.slice(pieces, first + 1, end - first)
+            line = lambda p: F.array_join(F.flatten(F.transform(p, lambda x, i: F.array(F.when(i == 0, "").otherwise(x["glue"]), x["piece"]))), "")
+            return F.when(F.size(pieces) == 0, F.array(F.lit(""))).otherwise(F.transform(starts, lambda first, k: line(of(first, upto(k)))))
+
+        return _let(starts, cut)
+
+    return _let(pieces, lines)
+
+
+def _sizes(pieces: Column) -> Column:
+    """Lengths of pieces and of the glue in front of them."""
+    return F.transform(pieces, lambda p: F.struct(F.length(p["piece"]).alias("n"), F.length(p["glue"]).alias("glue")))
+
+
+def _start(places: bool) -> Column:
+    """No line yet; with the places where lines begin if these are wanted."""
+    counts = [F.lit(0).alias("at"), F.lit(0).alias("lines"), F.lit(0).alias("long")]
+    return F.struct(*counts, *([F.expr("cast(array() as array<int>)").alias("starts")] if places else []))
+
+
+def _add(width: Column, most: Column | None, places: bool):
+    """One piece more: how many pieces and lines there are, how long the last line is."""
+
     def add(s: Column, p: Column) -> Column:
-        joined = F.concat(s["line"], F.when(s["line"] == "", "").otherwise(p["glue"]), p["piece"])
-        stays = (s["line"] == "") | (F.length(joined) <= width)
+        joined = s["long"] + p["glue"] + p["n"]
+        stays = (s["lines"] > 0) & (joined <= width)
         if most is not None:
-            stays = stays | (F.size(s["done"]) + 1 >= most)
-        return F.when(stays, F.struct(s["done"].alias("done"), joined.alias("line"))).otherwise(F.struct(F.concat(s["done"], F.array(s["line"])).alias("done"), p["piece"].alias("line")))
+            stays = stays | (s["lines"] >= F.greatest(F.lit(1), most))
+        parts = [(s["at"] + 1).alias("at"), F.when(stays, s["lines"]).otherwise(s["lines"] + 1).alias("lines"), F.when(stays, joined).otherwise(p["n"]).alias("long")]
+        return F.struct(*parts, *([F.when(stays, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["at"]))).alias("starts")] if places else []))
 
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("line"))
-    return F.aggregate(pieces, start, add, lambda s: F.concat(s["done"], F.array(s["line"])))
+    return add
+
+
+def _lines_needed(sizes: Column, width: Column) -> Column:
+    return F.greatest(F.lit(1), F.aggregate(sizes, _start(False), _add(width, None, False), lambda s: s["lines"]))
+
+
+def _long_and_total(sizes: Column) -> tuple[Column, Column]:
+    """The longest piece, and all of them: where none is too wide, lines hold no more than their width."""
+    n = F.transform(sizes, lambda p: p["n"])
+    return F.coalesce(F.array_max(n), F.lit(0)), F.aggregate(n, F.lit(0), lambda s, x: s + x)
 
 
 def balanced(pieces: Column, widest: Column, lines: int) -> Column:
-    """The lines of the narrowest width, up to ``widest``, that needs no more than ``lines`` lines."""
-    tries = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), widest)), lambda w: w)
-    fits = F.filter(tries, lambda w: F.size(wrapped(pieces, w)) <= lines)
-    return _let(F.coalesce(F.array_min(fits), widest), lambda w: wrapped(pieces, w, F.lit(lines)))
+    """The lines of the narrowest width, up to ``widest``, that needs no more than ``lines`` lines.  A wider line
+    never needs more lines, so the width is found by halving."""
+
+    def narrowest(sizes: Column) -> Column:
+        def halve(s: Column) -> Column:
+            mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+            ends = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+            return F.when(s["lo"] >= s["hi"], s).otherwise(_let(mid, lambda m: F.when(_lines_needed(sizes, m) <= lines, ends(s["lo"], m)).otherwise(ends(m + 1, s["hi"]))))
+
+        top = F.greatest(F.lit(1), widest).cast("int")
+        steps = F.sequence(F.lit(1), F.ceil(F.log2(top.cast("double"))).cast("int") + 1)
+        found = F.aggregate(steps, F.struct(F.lit(1).alias("lo"), top.alias("hi")), lambda s, _: halve(s), lambda s: s["lo"])
+        long, total = _long_and_total(sizes)
+        return F.when((long <= top) & (total > top * lines), widest).when(_lines_needed(sizes, top) <= lines, found).otherwise(widest)
+
+    return _let(pieces, lambda p: _let(_let(_sizes(p), narrowest), lambda w: wrapped(p, w, F.lit(lines))))
 
 
 def largest_fit(text: Column, width: Column, height: Column, least: int, most: int) -> Column:
     """The largest size at which the wrapped text fits a box; characters are 0.5, lines 1.25 times as wide
-    and high as the size.  ``least`` if none fits."""
-    pieces = break_pieces(text)
+    and high as the size.  ``least`` if none fits.  What doesn't fit at a size fits at no larger one."""
+
+    def largest(sizes: Column) -> Column:
+        def of(bounds: Column) -> Column:
+            return F.aggregate(steps, F.struct(F.lit(least).alias("lo"), F.lit(most).alias("hi")), lambda s, _: halve(s, bounds), lambda s: s["lo"])
+
+        def fits(n: Column, bounds: Column) -> Column:
+            cap = F.floor(width / (n * 0.5)).cast("int")
+            return (bounds["long"] <= cap) & (bounds["total"] * n * 1.25 <= cap * height) & (_lines_needed(sizes, cap) * n * 1.25 <= height)
+
+        def halve(s: Column, bounds: Column) -> Column:
+            mid = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+            ends = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+            return F.when(s["lo"] >= s["hi"], s).otherwise(_let(mid, lambda m: F.when(fits(m, bounds), ends(m, s["hi"])).otherwise(ends(s["lo"], m - 1))))
 
-    def fits(n: Column) -> Column:
-        cap = F.floor(width / (n * 0.5)).cast("int")
-        lines = wrapped(pieces, cap)
-        widest = F.array_max(F.transform(lines, lambda x: F.length(x)))
-        return (widest <= cap) & (F.size(lines) * n * 1.25 <= height)
+        steps = F.sequence(F.lit(1), F.lit(max(1, (most - least + 1).bit_length())))
+        long, total = _long_and_total(sizes)
+        return _let(F.struct(long.alias("long"), total.alias("total")), of)
 
-    return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(least), F.lit(most)), fits)), F.lit(least))
+    return F.when(text.isNull(), F.lit(least)).otherwise(_let(_sizes(break_pieces(text)), largest))
 
 
 def justifiable(text: Column, natural: Column, target: Column, space: Column) -> Column:
