@@ -39,7 +39,7 @@ def test_halving_finds_what_trying_all_finds(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data is not here")
-@pytest.mark.parametrize("name, most", [("F26_balanced_lines", 1)])
+@pytest.mark.parametrize("name, most", [("F26_balanced_lines", 1), ("H25_wrapped_lines", 2)])
 def test_pieces_are_found_once(spark, name, most):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") <= most
