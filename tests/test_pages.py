@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from lectern.operators import alignment as L
+from lectern.operators import evidence as E
 from lectern.operators import pages as P
 from lectern.plans import QUERIES
 
@@ -83,7 +84,7 @@ def test_chain_is_the_loop_of_before():
 
 
 @needs_data
-@pytest.mark.parametrize("name, most", [("G07_bound_cells", 2), ("G05_align_units", 3), ("W08_sticky_labels", 2), ("J09_fuzzy_bind", 2), ("G10_symbol_leftovers", 6), ("G09_claims", 6)])
+@pytest.mark.parametrize("name, most", [("G07_bound_cells", 2), ("G05_align_units", 3), ("W08_sticky_labels", 2), ("J09_fuzzy_bind", 2), ("G10_symbol_leftovers", 6), ("G09_claims", 6), ("F05_token_scores", 2)])
 def test_pages_are_dealt_out_once(spark, name, most):
     assert exchanges(spark, name) <= most
 
@@ -92,3 +93,21 @@ def test_pages_are_dealt_out_once(spark, name, most):
 def test_units_bind_once(spark):
     plan = QUERIES["G05_align_units"](spark, SF)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("MapInArrow") == 1 and "InPandas" not in plan
+
+
+def test_overlaps_are_what_difflib_says():
+    def plain(a, b):
+        if not a or not b:
+            return 0.0
+        least = min(3, len(a), len(b))
+        return sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks() if m.size >= least) / min(len(a), len(b))
+
+    rng = random.Random(4)
+    for _ in range(60):
+        keys = ["".join(rng.choice("abcd") for _ in range(rng.randint(0, 14))) for _ in range(12)]
+        held = E.Keys(keys, list(range(12)))
+        for b in [*keys[:3], *("".join(rng.choice("abcd") for _ in range(rng.randint(0, 14))) for _ in range(12))]:
+            want = [plain(a, b) for a in keys]
+            assert E.Keys(list(dict.fromkeys(keys)), list(range(12))).overlaps(b).tolist() == [plain(a, b) for a in dict.fromkeys(keys)]
+            top = max((o, a == b, -abs(len(a) - len(b)), -i) for i, (a, o) in enumerate(zip(keys, want)))
+            assert held.best(b) == (top if top[0] >= 0.5 else None)
