@@ -84,7 +84,7 @@ def test_chain_is_the_loop_of_before():
 
 
 @needs_data
-@pytest.mark.parametrize("name, most", [("G07_bound_cells", 2), ("G05_align_units", 3), ("W08_sticky_labels", 2), ("J09_fuzzy_bind", 2), ("G10_symbol_leftovers", 6), ("G09_claims", 6), ("F05_token_scores", 2), ("J16_best_fields", 2)])
+@pytest.mark.parametrize("name, most", [("G07_bound_cells", 2), ("G05_align_units", 3), ("W08_sticky_labels", 2), ("J09_fuzzy_bind", 2), ("G10_symbol_leftovers", 6), ("G09_claims", 6), ("F05_token_scores", 2), ("J16_best_fields", 2), ("F09_field_overlap", 2)])
 def test_pages_are_dealt_out_once(spark, name, most):
     assert exchanges(spark, name) <= most
 
