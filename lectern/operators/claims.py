@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lectern.functions import geometry as G
 from lectern.functions import text as T
 
-from .alignment import PAGE
+from .alignment import PAGE, page_units
 from .pages import Vocabulary, bits, each, gathered, match_list, spelt_form, token_runs
 
 # fixed values
@@ -130,22 +130,41 @@ def page_claims(units: dict[str, list], cells: dict[str, list], lines: dict[str,
         yield line, found, fields
 
 
-def resolved_claims(units: DataFrame, cells: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc, page, line_idx, first_cell, verdict, home of each claim on a line that several groups claim."""
+def _resolved(whole: DataFrame, units_of) -> DataFrame:
+    """The verdicts of gathered pages; ``units_of`` has a page's units from its tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for key, t in each(batch, PAGE):
-                for line, claims, fields in page_claims(t["units"], t["cells"], t["lines"]):
+                for line, claims, fields in page_claims(units_of(t), t["cells"], t["lines"]):
                     out += [(*key, line, k, v, home) for k, (v, home) in resolve(claims, fields).items()]
             kinds = [pa.int64()] * 4 + [pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=[*PAGE, "line_idx", "first_cell", "verdict", "home"])
 
-    whole = gathered(PAGE, units=units.select(*PAGE, "line_idx", "first_cell", "cells"), cells=cells.select(*PAGE, "cell_id", "text", "x", "y", "w", "h"), lines=lines.select(*PAGE, "line_idx", "text"))
     return whole.mapInArrow(run, "doc bigint, page bigint, line_idx bigint, first_cell bigint, verdict string, home bigint")
 
 
+def resolved_claims(units: DataFrame, cells: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc, page, line_idx, first_cell, verdict, home of each claim on a line that several groups claim."""
+    whole = gathered(PAGE, units=units.select(*PAGE, "line_idx", "first_cell", "cells"), cells=cells.select(*PAGE, "cell_id", "text", "x", "y", "w", "h"), lines=lines.select(*PAGE, "line_idx", "text"))
+    return _resolved(whole, lambda t: t["units"])
+
+
+def labelled_claims(cells: DataFrame, lines: DataFrame) -> DataFrame:
+    """``resolved_claims`` of the units that cells with a line (null: a leftover) make, which are found on the page's
+    row; cells of lines that the page hasn't are in no unit."""
+
+    def units_of(t: dict[str, dict[str, list]]) -> dict[str, list]:
+        known = {None, *t["lines"]["line_idx"]}
+        bound = [(i, line) for i, line in zip(t["cells"]["cell_id"], t["cells"]["line_idx"]) if line in known]
+        found = page_units([i for i, _ in bound], [line for _, line in bound])
+        return {"first_cell": [u[0] for u in found], "line_idx": [u[1] for u in found], "cells": [u[2] for u in found]}
+
+    whole = gathered(PAGE, cells=cells.select(*PAGE, "cell_id", "line_idx", "text", "x", "y", "w", "h"), lines=lines.select(*PAGE, "line_idx", "text"))
+    return _resolved(whole, units_of)
+
+
 def icon_fragments(units: DataFrame, cells: DataFrame, lines: DataFrame) -> DataFrame:
     """doc, page, cell_id of members that add no word to their unit and are set apart from it: much lower than the
     others, or, where the line is one field, above them or near none of them."""

@@ -10,9 +10,11 @@ import numpy as np
 import pytest
 
 from lectern.operators import alignment as L
+from lectern.operators import claims as C
 from lectern.operators import evidence as E
 from lectern.operators import pages as P
 from lectern.plans import QUERIES
+from lectern.plans import claims as QC
 from lectern.sources import adapters as A
 
 SF = "/root/testdata/sf0.001"
@@ -128,3 +130,10 @@ def test_gathered_columns_keep_their_nulls(spark):
     g = P.gathered(["k"], t=spark.createDataFrame(rows, "k bigint, a int, b string, c double, d boolean"), u=spark.createDataFrame([(1, [3]), (1, None), (2, [])], "k bigint, e array<bigint>"))
     got = {key: (sorted(zip(*t["t"].values()), key=str), sorted(t["u"]["e"], key=str)) for b in g.toArrow().to_batches() for (key,), t in P.each(b, ["k"])}
     assert got == {k: (sorted((r[1:] for r in rows if r[0] == k), key=str), e) for k, e in ((1, [None, [3]]), (2, [[]]))}
+
+
+@needs_data
+def test_claims_are_found_on_the_page(spark):
+    assert exchanges(spark, "G09_claims") <= 2
+    cells, lines, units = QC.claimed(spark, SF)
+    assert sorted(QUERIES["G09_claims"](spark, SF).collect()) == sorted(C.resolved_claims(units, cells, lines).collect())
