@@ -5,8 +5,14 @@ Widths come from a model that the caller injects; the default is one unit a char
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from lectern.functions import text as T
 
@@ -36,10 +42,14 @@ def break_pieces(text: Column) -> Column:
     lead = lambda m: F.regexp_extract(m, r"(?U)^\s*", 0)
     glue = lambda m: F.when(lead(m).contains(EM_SPACE), EM_SPACE).when(lead(m) != "", " ").otherwise("")
     parts = F.transform(T.all_of(text, piece), lambda m: F.struct(F.regexp_replace(m, r"(?U)\s+", "").alias("piece"), glue(m).alias("glue")))
-    # without such scripts, and with no white space but spaces, pieces are words
     front = F.when(text.startswith(" "), " ").otherwise("")
     words = F.transform(F.filter(F.split(text, " "), lambda w: w != ""), lambda w, i: F.struct(w.alias("piece"), F.when(i == 0, front).otherwise(" ").alias("glue")))
-    return F.when(text.rlike(rf"(?U)[{WIDE_SCRIPT}]|[\s&&[^ ]]"), parts).otherwise(words)
+    return F.when(_scripted(text), parts).otherwise(words)
+
+
+def _scripted(text: Column) -> Column:
+    """Whether text has such scripts, or white space other than spaces; if not, its pieces are words."""
+    return text.rlike(rf"(?U)[{WIDE_SCRIPT}]|[\s&&[^ ]]")
 
 
 def wrapped(pieces: Column, width: Column, most: Column | None = None) -> Column:
@@ -114,28 +124,72 @@ def balanced(pieces: Column, widest: Column, lines: int) -> Column:
     return _let(pieces, lambda p: _let(_let(_sizes(p), narrowest), lambda w: wrapped(p, w, F.lit(lines))))
 
 
-def largest_fit(text: Column, width: Column, height: Column, least: int, most: int) -> Column:
-    """The largest size at which the wrapped text fits a box; characters are 0.5, lines 1.25 times as wide
-    and high as the size.  ``least`` if none fits.  What doesn't fit at a size fits at no larger one."""
+def _ends(total: list[int], glue: list[int], width: int) -> Iterator[int]:
+    """Where each line ends of pieces, ``total`` long up to each with the glue in front of them."""
+    first, n = 0, len(total)
+    while first < n:
+        before = total[first - 1] if first else 0
+        first = max(first + 1, bisect_right(total, before + glue[first] + width, first))
+        yield first
 
-    def largest(sizes: Column) -> Column:
-        def of(bounds: Column) -> Column:
-            return F.aggregate(steps, F.struct(F.lit(least).alias("lo"), F.lit(most).alias("hi")), lambda s, _: halve(s, bounds), lambda s: s["lo"])
 
-        def fits(n: Column, bounds: Column) -> Column:
-            cap = F.floor(width / (n * 0.5)).cast("int")
-            return (bounds["long"] <= cap) & (bounds["total"] * n * 1.25 <= cap * height) & (_lines_needed(sizes, cap) * n * 1.25 <= height)
+def _pieces(text: str, parts) -> tuple[list[str], list[str]]:
+    """Pieces and glue of a text: ``parts`` if it has any, else its words."""
+    if parts is not None:
+        return [p["piece"] for p in parts], [p["glue"] for p in parts]
+    words = [w for w in text.split(" ") if w]
+    return words, [" " if k or text[0] == " " else "" for k in range(len(words))]
 
-        def halve(s: Column, bounds: Column) -> Column:
-            mid = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
-            ends = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
-            return F.when(s["lo"] >= s["hi"], s).otherwise(_let(mid, lambda m: F.when(fits(m, bounds), ends(m, s["hi"])).otherwise(ends(s["lo"], m - 1))))
 
-        steps = F.sequence(F.lit(1), F.lit(max(1, (most - least + 1).bit_length())))
-        long, total = _long_and_total(sizes)
-        return _let(F.struct(long.alias("long"), total.alias("total")), of)
+def _totals(words: list[str], glue: list[str]) -> tuple[list[int], list[int]]:
+    return list(accumulate(len(w) + len(g) for w, g in zip(words, glue))), [len(g) for g in glue]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _text_lines(texts: pd.Series, parts: pd.Series, widths: pd.Series) -> pd.Series:
+    out: list[list[str] | None] = []
+    for text, found, width in zip(texts, parts, widths):
+        if text is None:
+            out.append(None)
+            continue
+        words, glue = _pieces(text, found)
+        first, lines = 0, []
+        for end in _ends(*_totals(words, glue), int(width)):
+            lines.append(" ".join(words[first:end]) if found is None else "".join([words[first], *(g + w for g, w in zip(glue[first + 1 : end], words[first + 1 : end]))]))
+            first = end
+        out.append(lines or [""])
+    return pd.Series(out, dtype=object)
+
+
+def wrapped_text(text: Column, width: Column) -> Column:
+    """``wrapped`` of a text's pieces: a line's end is found by halving."""
+    return _text_lines(text, F.when(_scripted(text), break_pieces(text)), width)
+
+
+def largest_fit(text: Column, width: Column, height: Column, least: int, most: int) -> Column:
+    """The largest size at which the wrapped text fits a box; characters are 0.5, lines 1.25 times as wide
+    and high as the size.  ``least`` if none fits.  What doesn't fit at a size fits at no larger one."""
 
-    return F.when(text.isNull(), F.lit(least)).otherwise(_let(_sizes(break_pieces(text)), largest))
+    @F.pandas_udf(IntegerType())
+    def largest(texts: pd.Series, parts: pd.Series, widths: pd.Series, heights: pd.Series) -> pd.Series:
+        out = []
+        for text, found, width, height in zip(texts, parts, widths, heights):
+            lo, hi = least, least if text is None else most
+            words, glue = _pieces(text, found) if lo < hi else ([], [])
+            long, total = max(map(len, words), default=0), sum(map(len, words))
+            ends = None
+            while lo < hi:
+                mid = (lo + hi + 1) // 2
+                cap = int(width // (mid * 0.5))
+                fits = long <= cap and total * mid * 1.25 <= cap * height
+                if fits:
+                    ends = ends or _totals(words, glue)
+                    fits = max(1, sum(1 for _ in _ends(*ends, cap))) * mid * 1.25 <= height
+                lo, hi = (mid, hi) if fits else (lo, mid - 1)
+            out.append(lo)
+        return pd.Series(out, dtype="int32")
+
+    return largest(text, F.when(_scripted(text), break_pieces(text)), width, height)
 
 
 def justifiable(text: Column, natural: Column, target: Column, space: Column) -> Column:

@@ -43,3 +43,19 @@ def test_halving_finds_what_trying_all_finds(spark):
 def test_pieces_are_found_once(spark, name, most):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") <= most
+
+
+def test_texts_wrap_as_their_pieces_do(spark):
+    rng = random.Random(8)
+    texts = [None, "", "   ", " a", "a\tb", "x" * 90, *("".join(rng.choice(["ab", "é" * rng.randint(1, 30), "日", "（", "。", "\u2003", " ", " ", " "][: rng.choice([3, 9])] + [" "]) for _ in range(rng.randint(1, 60))) for _ in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    t = F.col("text")
+    for width in (1, 7, 24):
+        for r in df.select("text", W.wrapped(W.break_pieces(t), F.lit(width)).alias("w"), W.wrapped_text(t, F.lit(width)).alias("got")).collect():
+            assert r.got == r.w, repr(r.text)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test data is not here")
+def test_lines_are_not_folded_over(spark):
+    plan = QUERIES["H25_wrapped_lines"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan
