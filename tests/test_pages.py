@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.operators import alignment as L
 from lectern.operators import claims as C
@@ -137,3 +138,31 @@ def test_claims_are_found_on_the_page(spark):
     assert exchanges(spark, "G09_claims") <= 2
     cells, lines, units = QC.claimed(spark, SF)
     assert sorted(QUERIES["G09_claims"](spark, SF).collect()) == sorted(C.resolved_claims(units, cells, lines).collect())
+
+
+def test_blocks_are_those_of_difflib():
+    rng = random.Random(6)
+    for letters, longest in (("ab", 12), ("abcd", 30), ("abcdefghij", 15), ("abc", 230)):
+        for _ in range(300):
+            a, b = ("".join(rng.choice(letters) for _ in range(rng.randint(0, longest))) for _ in range(2))
+            if rng.random() < 0.5 and a:
+                k = rng.randrange(len(a))
+                b = a[:k] + rng.choice(["", "x"]) + a[k + 1 :]
+            want = [m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks() if m.size]
+            for least in (1, 3):
+                assert sum(P.block_sizes(a, b, least)) == sum(x for x in want if x >= least), (a, b)
+
+
+def test_own_fields_are_dealt_out_once(spark):
+    rows = [(1, 1, "Total amount", "Totl amount"), (1, 2, "amount due", "amount due"), (1, 3, None, "due"), (1, 4, "due", None), (1, 5, "x", ""), (2, 6, None, None), (2, 7, "Preis", "Pris")]
+    c = spark.createDataFrame(rows, "doc bigint, cell_id bigint, text string, read string")
+    got = E.best_own_fields(c, ["doc"], "cell_id", "field")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange\b", plan.split("== Initial Plan ==")[-1])) == 1
+    want = E.best_fields(c.select("doc", "cell_id", F.col("read").alias("text")), c.select("doc", F.col("cell_id").alias("field"), "text"), ["doc"], "cell_id", "field")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 3
+
+
+@needs_data
+def test_best_fields_deal_out_once(spark):
+    assert exchanges(spark, "J16_best_fields") == 1
