@@ -166,3 +166,15 @@ def test_own_fields_are_dealt_out_once(spark):
 @needs_data
 def test_best_fields_deal_out_once(spark):
     assert exchanges(spark, "J16_best_fields") == 1
+
+
+@needs_data
+def test_overlaps_come_as_lists(spark):
+    plan = QUERIES["F09_field_overlap"](spark, SF)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert exchanges(spark, "F09_field_overlap") == 1 and plan.count("Generate explode") >= 2
+    cells = [(1, 1, "Total amount", "Totl amount"), (1, 2, "amount due", "amount due"), (1, 3, None, "due"), (1, 4, "due", None), (1, 5, "due", "due"), (1, 5, "zz", "")]
+    c = spark.createDataFrame(cells, "doc bigint, cell_id bigint, text string, read string")
+    key = lambda t: None if t is None else t.lower().replace(" ", "")
+    want = [(i, j, round(float(E.Keys([key(a)], [0]).overlaps(key(b))[0]), 6)) for _, i, _, b in cells if b is not None for _, j, a, _ in cells if a is not None]
+    got = [tuple(r) for r in E.own_overlaps(c, ["doc"], "cell_id", "field").select("cell_id", "field", "overlap").collect()]
+    assert sorted(got) == sorted(want) and len(want) == 25 and {0.0, 1.0} < {o for *_, o in want}
