@@ -426,3 +426,24 @@ def test_recall_with_a_frequent_phrase(spark):
         variants += [v, u]
     texts, begins = embedded(rng, some, variants)
     assert passage_recall(spark, texts, [(k, set(range(begins[k], begins[k] + len(variants[k])))) for k in range(1, len(texts), 2)]) >= 0.9
+
+
+def test_near_copies_of_frequent_lines(spark):
+    """Every line is in many documents, in another order, so nearly all minima are; each document of the second half is a
+    near copy of one of the first, with many between them that have its minima."""
+    rng = random.Random(15)
+    stock = [[f"w{rng.randrange(10**5)}" for _ in range(18)] for _ in range(40)]
+    sources = [[w for line in rng.sample(stock, 6) for w in line] for _ in range(200)]
+    copies = []
+    for v in sources:
+        u = v[:]
+        for at in rng.sample(range(len(u)), 5):
+            u[at] = f"x{rng.randrange(10**6)}"
+        copies.append(u)
+    order = rng.sample(range(len(sources)), len(sources))
+    texts = sources + [copies[k] for k in order]
+    wanted = [(len(sources) + n, alike_words(copies[k], [sources[k]])) for n, k in enumerate(order)]
+    wanted = [(n, w) for n, w in wanted if w]
+    recall = passage_recall(spark, [" ".join(v) for v in texts], wanted)
+    print("recall", len(wanted), recall)
+    assert len(wanted) > 100 and recall == 1.0
