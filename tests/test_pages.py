@@ -178,3 +178,16 @@ def test_overlaps_come_as_lists(spark):
     want = [(i, j, round(float(E.Keys([key(a)], [0]).overlaps(key(b))[0]), 6)) for _, i, _, b in cells if b is not None for _, j, a, _ in cells if a is not None]
     got = [tuple(r) for r in E.own_overlaps(c, ["doc"], "cell_id", "field").select("cell_id", "field", "overlap").collect()]
     assert sorted(got) == sorted(want) and len(want) == 25 and {0.0, 1.0} < {o for *_, o in want}
+
+
+@needs_data
+def test_similar_tokens_of_lines(spark):
+    """Equal pairs are made one before they are dealt out, and are those of a join of all tokens of a line."""
+    plan = QUERIES["F04_similar_tokens"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(a#", plan)  # pairs are not dealt out one by one
+    cells = spark.createDataFrame([(1, 1, "kaart Kaarthouder"), (1, 2, "kaart pas"), (2, 1, "kaart houder"), (3, 1, "alone"), (4, 1, None)], "doc bigint, cell_id bigint, read string")
+    lines = spark.createDataFrame([(1, "de kaarthouder past kart"), (2, "kaart houders"), (4, "none here")], "doc bigint, text string")
+    own = {1: {"kaart", "kaarthouder", "pas"}, 2: {"kaart", "houder"}}
+    theirs = {1: {"de", "kaarthouder", "past", "kart"}, 2: {"kaart", "houders"}}
+    want = sorted({(a, b, plain_alike(a, b)) for d in own for a in own[d] for b in theirs[d]})
+    assert sorted(tuple(r) for r in E.similar_line_tokens(cells, lines, ["doc"], 4, 0.8).collect()) == want
