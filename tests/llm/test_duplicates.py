@@ -2,13 +2,16 @@
 
 import hashlib
 import random
+import time
+from pathlib import Path
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from lectern.llm import passages, setjoin, suffixes
+from lectern.llm import dealing, passages, setjoin, suffixes
 from lectern.llm.dealing import components, even_keys, hash_int
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -272,6 +275,54 @@ def test_compact_windows_are_all_windows():
         assert got == want
 
 
+def test_passages_that_many_have_are_sought_once(spark):
+    """Of the candidates of a document, one passage for what many earlier documents have; what only the last has stays."""
+    rng = random.Random(11)
+    w = [f"w{rng.randrange(4000)}" for _ in range(600)]
+    texts = [[*w[200 + k * 10 : 230 + k * 10], *w[:90]] for k in range(6)]
+    texts[5] += w[400:480]
+    texts.append([*w[:90], *w[500:540], *w[400:480]])
+    docs = passages.keyed(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), "text", "doc_id")
+    tag = {r.id: r.tag for r in docs.collect()}
+    found = spark.createDataFrame([(6, tag[6], a, tag[a], 0, len(texts[a]) - 5, 0, len(texts[6]) - 5) for a in range(6)], passages.CANDIDATE)
+    every = {(r.a, r.b0, r.b1) for r in passages.verified(docs, found, 46).collect()}
+    assert every == {(a, 0, 89) for a in range(6)} | {(5, 130, 209)}
+    assert {(r.a, r.b0, r.b1) for r in passages.verified(docs, found, 46, once=True).collect()} == {(0, 0, 89), (5, 0, 89), (5, 130, 209)}
+
+
+def test_windows_of_repeated_shingles_are_looked_at():
+    """``promising`` leaves out no window that ``similar_runs`` finds."""
+    rng = random.Random(12)
+    met = []
+    for k in range(300):
+        stock = rng.choice((1, 3, 40, 400))
+        a = [rng.randrange(stock) for _ in range(rng.randint(1, 150))]
+        b = [rng.randrange(stock) if rng.random() < rng.choice((0, 0.2)) else x for x in a * 2][rng.randint(0, 30) :][:150]
+        met.append(([k], np.array(b, np.uint32).tobytes(), np.array(a, np.uint32).tobytes()))
+    want = {k: x for (k,), b, a in met if (x := passages.similar_runs(np.frombuffer(b, np.uint32), np.frombuffer(a, np.uint32), 46))}
+    got = {}
+    for (k,), sb, sa, windows, *_ in passages.promising(met, 46):
+        at = int(windows[0])
+        if x := passages.similar_runs(sb[at : windows[-1] + 46], sa, 46):
+            got[k] = [(b0 + at, b1 + at, a0, a1, j, w0 + at, w1 + at) for b0, b1, a0, a1, j, w0, w1 in x]
+    assert got == want and len(want) > 50
+
+
+def test_what_was_shuffled_for_a_step_goes(spark):
+    """What a step shuffled doesn't stay on disk when its checkpoint is there."""
+    folders = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    held = lambda: {p for d in folders for p in Path(d).rglob("shuffle_*.data")}
+    before = held()
+    step = spark.range(20000).repartition(3, "id").selectExpr("id + 1 as id").checkpoint()
+    own = held() - before
+    assert own
+    assert dealing.freed(step).count() == 20000
+    end = time.time() + 20
+    while own & held() and time.time() < end:
+        time.sleep(0.2)
+    assert not own & held()
+
+
 def test_passages_are_cut(spark):
     p = " ".join(f"p{i}" for i in range(60))
     rows = [(1, f"first  words\there {p} and after", 1), (2, f"Other start {p}\nother end", 2), (3, p, 3), (4, None, 4), (5, "clean text", 5)]
