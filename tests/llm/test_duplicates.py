@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import dealing, passages, setjoin, suffixes
 from lectern.llm.dealing import components, even_keys, hash_int
@@ -323,6 +324,50 @@ def test_what_was_shuffled_for_a_step_goes(spark):
     assert not own & held()
 
 
+def test_a_settled_step_leaves_no_shuffled_files(spark):
+    """They go with the step, not when the driver happens to collect its garbage; the checkpoint's own when it is dropped."""
+    folders = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    held = lambda: {p for d in folders for p in Path(d).rglob("shuffle_*.data")}
+    kept = spark.range(5000).repartition(3, "id").checkpoint()
+    before = held()
+    tap = spark.range(20000).repartition(3, "id").groupBy((F.col("id") % 1000).alias("k")).count()
+    step = dealing.settled(tap)
+    assert not held() - before and step.count() == 1000
+    made = [r.getCheckpointFile().get() for r, _ in dealing._lineage(step) if r.isCheckpointed()]
+    there = lambda: [p for p in made if spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
+    assert there()
+    dealing.dropped(step)
+    assert made and not there() and kept.count() == 5000 and tap.count() == 1000  # it can still be made again
+
+
+def test_rest_is_compared_in_waves(spark, monkeypatch):
+    """What is sought in all earlier documents is dealt out wave by wave, and gives the same passages as all at once."""
+    rng = random.Random(16)
+    stock = [[f"w{rng.randrange(10**5)}" for _ in range(18)] for _ in range(30)]
+    texts = [[w for line in rng.sample(stock, 6) for w in line] for _ in range(60)]
+    for v in texts[:60]:
+        u = v[:]
+        for at in (31, 77):
+            u[at] = f"x{rng.randrange(10**5)}"
+        texts.append(u)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    verified, seen = passages.verified, []
+
+    def counted(docs, found, least, once=False):
+        if once:
+            seen.append({r.id for r in found.select("id").distinct().collect()})
+        return verified(docs, found, least, once)
+
+    monkeypatch.setattr(passages, "verified", counted)
+    whole, all_ = sorted(passages.passages(df).collect()), seen[:]
+    seen.clear()
+    monkeypatch.setattr(passages, "FEW_PAIRS", 1000)
+    monkeypatch.setattr(passages, "PAIR_BYTES", 1 << 60)
+    assert sorted(passages.passages(df).collect()) == whole and len(whole) > 50
+    assert len(all_) == 1 and len(seen) > 3 and set().union(*seen) == all_[0] and sum(map(len, seen)) == len(all_[0])
+    assert max(map(len, seen)) < len(all_[0]) / 2
+
+
 def test_passages_are_cut(spark):
     p = " ".join(f"p{i}" for i in range(60))
     rows = [(1, f"first  words\there {p} and after", 1), (2, f"Other start {p}\nother end", 2), (3, p, 3), (4, None, 4), (5, "clean text", 5)]
