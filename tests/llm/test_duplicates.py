@@ -376,6 +376,16 @@ def test_passages_are_cut(spark):
     assert got == {1: rows[0][1], 2: "Other start other end", 4: None, 5: "clean text"}
 
 
+def test_passages_are_found_before_rows_are_dealt_out(spark):
+    """Rows and spans are all that is shuffled for the result; what the passages took is off the disk by then."""
+    p = " ".join(f"p{i}" for i in range(60))
+    df = spark.createDataFrame([(i, f"text {i} {p} end {i}") for i in range(9)], "doc_id bigint, text string")
+    cut = passages.remove_passages(df)
+    plan = cut._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert len(re.findall(r"\bExchange\b", plan)) <= 2
+    assert {r.doc_id: r.text for r in cut.collect()} == {i: f"text {i} {p} end {i}" if not i else f"text {i} {i}" for i in range(9)}
+
+
 def test_no_passages_of_nothing(nothing):
     assert passages.passages(nothing).collect() == []
     assert passages.remove_passages(nothing).collect() == []
