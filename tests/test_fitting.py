@@ -4,9 +4,11 @@ import difflib
 import os
 import random
 import re
+import tracemalloc
 import unicodedata
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +41,25 @@ def test_similar_tokens(spark):
     assert len(got) > 500 and all(r.similar == plain_alike(r.a, r.b) for r in got)
 
 
+def test_different_pairs_take_one_table():
+    """Pairs of tokens are made one in place: no copy of the table stands beside it."""
+    rng = np.random.default_rng(3)
+    added = [rng.integers(0, 1 << 20, int(n), np.uint64) << np.uint64(20) for n in rng.integers(0, 1 << 16, 100)]
+    want = np.unique(np.concatenate(added))
+    tracemalloc.start()
+    held = E.Distinct(1 << 21)
+    for x in added:
+        held.room(len(x))[:] = x
+    got = held.settle()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, want) and most < 1.4 * held.table.nbytes
+    small = E.Distinct(1)
+    for x in added[:9]:
+        small.room(len(x))[:] = x
+    assert np.array_equal(small.settle(), np.unique(np.concatenate(added[:9])))
+
+
 def test_token_scores(spark):
     lines, tokens = {}, {}
     for r in A.hint_lines(spark, SF).select("doc", "line_idx", T.fuzzy_tokens(F.col("text")).alias("t")).collect():
