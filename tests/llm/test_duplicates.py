@@ -341,7 +341,8 @@ def test_a_settled_step_leaves_no_shuffled_files(spark):
 
 
 def test_rest_is_compared_in_waves(spark, monkeypatch):
-    """What is sought in all earlier documents is dealt out wave by wave, and gives the same passages as all at once."""
+    """What is sought in all earlier documents meets in shares and is dealt out wave by wave, and gives the same passages
+    as all at once."""
     rng = random.Random(16)
     stock = [[f"w{rng.randrange(10**5)}" for _ in range(18)] for _ in range(30)]
     texts = [[w for line in rng.sample(stock, 6) for w in line] for _ in range(60)]
@@ -361,6 +362,7 @@ def test_rest_is_compared_in_waves(spark, monkeypatch):
     monkeypatch.setattr(passages, "verified", counted)
     whole, all_ = sorted(passages.passages(df).collect()), seen[:]
     seen.clear()
+    monkeypatch.setattr(passages, "MARKED", 1000)
     monkeypatch.setattr(passages, "FEW_PAIRS", 1000)
     monkeypatch.setattr(passages, "PAIR_BYTES", 1 << 60)
     assert sorted(passages.passages(df).collect()) == whole and len(whole) > 50
